@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="logscope-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names; a local one only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +21,7 @@ def scratch_root(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="logscope-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
