@@ -19,11 +19,11 @@ class TooManyRows(ValueError):
 
 
 def check_ceiling(df: DataFrame, ceiling: int | None = MAX_EXPORT_ROWS) -> None:
-    """Raise if ``df`` has more rows than ``ceiling``; stops counting just past it."""
+    """Raise if ``df`` has more rows than ``ceiling``."""
     if ceiling is None:
         return
-    found = df.select(F.lit(1).alias("one")).limit(ceiling + 1).count()
-    if found > ceiling:
+    # Read partition by partition until the row past the ceiling turns up or all are read.
+    if df.select(F.lit(1).alias("one")).offset(ceiling).take(1):
         raise TooManyRows(f"the export has more than {ceiling} rows; narrow the query")
 
 

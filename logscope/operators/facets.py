@@ -44,6 +44,15 @@ def _by_count(order: Order = "descending") -> list[Column]:
     return [count, F.col("value").asc()]
 
 
+def _top_of_shared(groups: DataFrame, able: Column, order: Sequence[Column], size: int) -> DataFrame:
+    """The first ``size`` able groups of a table that other parts of the plan use too.
+
+    Sorting the others last and dropping them after the limit keeps the condition
+    above the aggregation, so all parts share its one scan and shuffle.
+    """
+    return groups.orderBy((~able).asc(), *order).limit(size).where(able)
+
+
 def terms(
     df: DataFrame, field: str, size: int = 10, order: Order = "descending",
     exclude: Sequence = (), where: Column | None = None,
@@ -72,7 +81,7 @@ def terms_with_rest(
     counts = value_counts(keep(df, where).select(column.alias("value")), "value")
     if tokenised and exclude:
         counts = counts.where(excludes("value", exclude))
-    top = counts.where(F.col("value").isNotNull()).orderBy(*_by_count()).limit(size)
+    top = _top_of_shared(counts, F.col("value").isNotNull(), _by_count(), size)
     shown = top.agg(F.coalesce(F.sum("count"), F.lit(0)))
     rest = counts.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("_all"),
@@ -141,14 +150,22 @@ def tag_cloud(
     ``share`` is of all matching rows; ``size`` is the font size, 5 to 35 by share.
     """
     base = keep(df, where)
-    tokens = base.select(F.explode(F.array_distinct(words(F.col(text), stop_words))).alias("value"))
-    top = value_counts(tokens, "value").orderBy(*_by_count()).limit(size)
-    shares = top.withColumn("share", F.col("count") / total(base).scalar())
-    largest = shares.agg(F.max("share")).scalar()
-    return shares.withColumn("max_share", largest).select(
-        F.col("value").alias("word"), "count", "share", "max_share",
-        (F.lit(5.0) + rescale(F.col("share"), F.lit(0.0), F.col("max_share"), 0, 30)).alias("size"),
-    )
+    # Each row also brings one null word: its count is the number of rows, in the same pass.
+    tokens = F.array_distinct(words(F.col(text), stop_words))
+    one_null = F.array(F.lit(None).cast("string"))
+    counts = value_counts(base.select(
+        F.explode(F.concat(F.coalesce(tokens, F.array().cast("array<string>")), one_null)
+                  ).alias("value")), "value")
+    top = _top_of_shared(counts, F.col("value").isNotNull(), _by_count(), size)
+    hits = counts.agg(F.max(F.when(F.col("value").isNull(), F.col("count")))).scalar()
+    shares = top.select(F.col("value").alias("word"), "count", (F.col("count") / hits).alias("share"))
+    # At most ``size`` rows meet here.
+    whole = shares.agg(
+        F.collect_list(F.struct("word", "count", "share")).alias("_rows"),
+        F.max("share").alias("max_share"),
+    ).select(F.inline("_rows"), "max_share")
+    font = F.lit(5.0) + rescale(F.col("share"), F.lit(0.0), F.col("max_share"), 0, 30)
+    return whole.withColumn("size", font)
 
 
 def region_counts(df: DataFrame, field: str, where: Column | None = None) -> DataFrame:
@@ -232,8 +249,8 @@ def derived_queries(
     groups = base.groupBy(F.col(field).alias("value")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(matches).alias("_q")
     )
-    able = (F.col("value").isNotNull()) & (F.col("_q") > 0) & excludes("value", exclude)
-    top = groups.where(able).orderBy(F.col("_q").desc(), F.col("value").asc()).limit(size)
+    able = F.col("value").isNotNull() & (F.col("_q") > 0) & excludes("value", exclude)
+    top = _top_of_shared(groups, able, [F.col("_q").desc(), F.col("value").asc()], size)
     whole = groups.agg(F.sum("_n").alias("_n"), F.sum("_q").alias("_q"))
     if query is None or mode == "terms only":
         own, rest_hits = F.col("_n"), (

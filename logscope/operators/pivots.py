@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logscope.functions.numbers import rescale
 from logscope.operators.predicates import keep
@@ -17,9 +17,16 @@ def cell_counts(df: DataFrame, row: str, col: str, where: Column | None = None)
     )
 
 
+# The operators below use one cell table several times. Each use needs the counts and
+# none filters by a grouping column, so the uses share one scan and one shuffle.
+
+def _sums(cells: DataFrame, side: str) -> DataFrame:
+    return cells.groupBy(side).agg(F.sum("count").alias("_n"))
+
+
 def _top(cells: DataFrame, side: str, limit: int) -> DataFrame:
-    sums = cells.groupBy(side).agg(F.sum("count").alias("_n"))
-    return sums.orderBy(F.col("_n").desc(), F.col(side).asc()).limit(limit).select(side)
+    ordered = _sums(cells, side).orderBy(F.col("_n").desc(), F.col(side).asc())
+    return ordered.limit(limit).select(side)
 
 
 def _with_zero_cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
@@ -39,8 +46,8 @@ def pivot(
     """
     cells = cell_counts(df, row, col, where)
     rows = _top(cells, "row", limit)
-    candidates = cells.select("col").distinct().orderBy("col").limit(2 * limit)
-    shown = cells.join(F.broadcast(rows), "row", "left_semi")
+    candidates = _sums(cells, "col").orderBy("col").limit(2 * limit).select("col")
+    shown = cells.join(F.broadcast(rows), "row")
     zeros = _with_zero_cells(rows, candidates)
     both = shown.unionByName(zeros).groupBy("row", "col").agg(F.sum("count").alias("count"))
     return top_per_group(both, ["row"], [F.col("count").desc(), F.col("col").asc()], limit)
@@ -53,9 +60,7 @@ def matrix(
     """Every cell of the most frequent rows and columns, zeros included."""
     cells = cell_counts(df, row, col, where)
     top_rows, top_cols = _top(cells, "row", rows), _top(cells, "col", cols)
-    shown = cells.join(F.broadcast(top_rows), "row", "left_semi").join(
-        F.broadcast(top_cols), "col", "left_semi"
-    )
+    shown = cells.join(F.broadcast(top_rows), "row").join(F.broadcast(top_cols), "col")
     zeros = _with_zero_cells(top_rows, top_cols)
     return shown.unionByName(zeros).groupBy("row", "col").agg(F.sum("count").alias("count"))
 
@@ -80,16 +85,15 @@ def transpose(cells: DataFrame) -> DataFrame:
 def order_rows(cells: DataFrame, by_col, descending: bool = True) -> DataFrame:
     """Cells in the order of their rows' counts in one column; ties by row.
 
-    ``sort_count`` is that count, 0 for a row without the cell.
+    ``sort_count`` is that count, 0 for a row without the cell. A row's cells
+    meet in one task: they are the columns a pivot shows.
     """
-    named = cells.where(F.col("col") == by_col).select(
-        F.col("row").alias("_row"), F.col("count").alias("_count")
+    wanted = F.max(F.when(F.col("col") == by_col, F.col("count")))
+    valued = cells.withColumn(
+        "sort_count", F.coalesce(wanted.over(Window.partitionBy("row")), F.lit(0))
     )
-    joined = cells.join(named, F.col("row") == F.col("_row"), "left").withColumn(
-        "sort_count", F.coalesce("_count", F.lit(0))
-    ).drop("_row", "_count")
     first = F.col("sort_count").desc() if descending else F.col("sort_count").asc()
-    return joined.orderBy(first, "row", "col")
+    return valued.orderBy(first, "row", "col")
 
 
 def order_columns(cells: DataFrame, by_row, descending: bool = True) -> DataFrame:
@@ -102,6 +106,7 @@ def order_columns(cells: DataFrame, by_row, descending: bool = True) -> DataFram
 
 def intensity(cells: DataFrame) -> DataFrame:
     """Each cell on a scale of 0 to 10 between the smallest and largest one."""
-    bounds = domain(cells)
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    return cells.withColumn("intensity", rescale(F.col("count"), low, high, 0, 10))
+    bounds = domain(cells).select(F.struct("low", "high")).scalar()
+    return cells.withColumn(
+        "intensity", rescale(F.col("count"), bounds["low"], bounds["high"], 0, 10)
+    )

@@ -57,7 +57,7 @@ def _filled(
     The empty buckets join the rows as all-false ones before the only
     aggregation: one shuffle of partial counts, no join.
     """
-    spine = rows.sparkSession.range(n_buckets).select(
+    spine = rows.sparkSession.range(0, n_buckets, 1, 1 + n_buckets // 1_000_000).select(
         F.col("id").alias("_bucket"), *(F.lit(False).alias(f) for f in flags)
     )
     counts = [F.count_if(f).alias(f) for f in flags]
@@ -187,6 +187,10 @@ def multi_series(
 # Operators over a finished (series, bucket, count) table. It has one row per
 # bucket and series, so a window by series holds at most the bucket count.
 
+def _point(bucket: Column, count: Column, value: str) -> Column:
+    return F.struct(bucket.alias("bucket"), count.alias(value))
+
+
 def _neighbours(points: DataFrame, series: str) -> DataFrame:
     steps = Window.partitionBy(series).orderBy("bucket")
     return points.withColumn("_before", F.lag("bucket").over(steps)).withColumn(
@@ -197,16 +201,14 @@ def _neighbours(points: DataFrame, series: str) -> DataFrame:
 def fill_minimal(points: DataFrame, interval: Interval, series: str = "series",
                  value: str = "count") -> DataFrame:
     """A zero one step after and one step before each gap, each only once."""
-    at = F.col("bucket")
+    at, zero = F.col("bucket"), F.lit(0).cast(points.schema[value].dataType)
     next_step, last_step = interval.shift(at), interval.shift(at, -1)
-    zero = F.lit(0).cast(points.schema[value].dataType)
-    point = lambda when, what: F.struct(when.alias("bucket"), what.alias(value))
-    none = F.lit(None).cast(points.select(F.struct("bucket", value).alias("p")).schema["p"].dataType)
+    # If the zero after the previous point falls on the same step, it is enough.
     before_due = interval.shift(F.col("_before")) < last_step
     rows = F.array(
-        F.when(before_due, point(last_step, zero)).otherwise(none),
-        point(at, F.coalesce(F.col(value), zero)),
-        F.when(F.col("_after") > next_step, point(next_step, zero)).otherwise(none),
+        F.when(before_due, _point(last_step, zero, value)),
+        _point(at, F.coalesce(F.col(value), zero), value),
+        F.when(F.col("_after") > next_step, _point(next_step, zero, value)),
     )
     return _neighbours(points, series).select(series, F.inline(F.array_compact(rows)))
 
@@ -214,37 +216,40 @@ def fill_minimal(points: DataFrame, interval: Interval, series: str = "series",
 def fill_all(points: DataFrame, interval: Interval, series: str = "series",
              value: str = "count") -> DataFrame:
     """A zero at every missing step between two points."""
-    gap_start, gap_end = interval.shift(F.col("bucket")), F.col("_after")
-    steps = F.sequence(F.col("bucket"), gap_end, F.expr(interval.sql()))
-    missing = F.when(
-        gap_end > gap_start, F.filter(steps, lambda s: (s > F.col("bucket")) & (s < gap_end))
-    )
-    near = _neighbours(points, series)
-    zeros = near.select(series, F.explode(missing).alias("bucket"),
-                        F.lit(0).cast(points.schema[value].dataType).alias(value))
-    return points.select(series, "bucket", F.coalesce(F.col(value), F.lit(0)).alias(value)
-                         ).unionByName(zeros)
+    at, after = F.col("bucket"), F.col("_after")
+    zero = F.lit(0).cast(points.schema[value].dataType)
+    # A sequence stops at the next point or short of it; the last point has none to reach.
+    steps = F.sequence(at, F.coalesce(after, at), F.expr(interval.sql()))
+    due = F.filter(steps, lambda s: (s > at) & (s < after))
+    own = F.array(_point(at, F.coalesce(F.col(value), zero), value))
+    rows = F.concat(own, F.transform(due, lambda s: _point(s, zero, value)))
+    return _neighbours(points, series).select(series, F.inline(rows))
 
 
 def require_times(points: DataFrame, names: Sequence[str], series: str = "series",
                   value: str = "count") -> DataFrame:
     """Give every named series a point at every time any series has one, 0 where new."""
-    every = F.array(*(F.lit(n) for n in names))
     zero = F.lit(0).cast(points.schema[value].dataType)
-    wanted = points.select(F.explode(every).alias(series), "bucket", zero.alias(value)).distinct()
-    both = points.select(series, "bucket", value).unionByName(wanted)
-    return both.groupBy(series, "bucket").agg(F.sum(value).alias(value))
+    every = F.array_union(F.array(*(F.lit(n) for n in names)), F.array(F.col(series)))
+    spread = points.select(
+        F.col(series).alias("_own"), F.explode(every).alias(series), "bucket", value
+    )
+    own = F.when(F.col("_own") == F.col(series), F.col(value)).otherwise(zero)
+    return spread.groupBy(series, "bucket").agg(F.sum(own).alias(value))
 
 
 def pad_edges(points: DataFrame, window: TimeWindow, series: str = "series",
               value: str = "count") -> DataFrame:
     """Null points at the window's ends where a series does not reach them."""
-    ends = points.groupBy(series).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
-    nothing = F.lit(None).cast(points.schema[value].dataType).alias(value)
-    start, end = ntz(window.start), ntz(window.end)
-    left = ends.where(F.col("_lo") > start).select(series, start.alias("bucket"), nothing)
-    right = ends.where(F.col("_hi") < end).select(series, end.alias("bucket"), nothing)
-    return points.select(series, "bucket", value).unionByName(left).unionByName(right)
+    at, start, end = F.col("bucket"), ntz(window.start), ntz(window.end)
+    nothing = F.lit(None).cast(points.schema[value].dataType)
+    first, last = F.col("_before").isNull(), F.col("_after").isNull()
+    rows = F.array(
+        F.when(first & (at > start), _point(start, nothing, value)),
+        _point(at, F.col(value), value),
+        F.when(last & (at < end), _point(end, nothing, value)),
+    )
+    return _neighbours(points, series).select(series, F.inline(F.array_compact(rows)))
 
 
 def drop_zeros(points: DataFrame, value: str = "count") -> DataFrame:

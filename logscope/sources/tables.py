@@ -50,7 +50,7 @@ def list_days(table: DataFrame, prefix: str = "tb_") -> DataFrame:
 
 def days_with_data(df: DataFrame, time: str, window: TimeWindow) -> DataFrame:
     """``(day)``: the days of a window that hold rows; wanted days and found days intersect."""
-    wanted = df.sparkSession.range(window.day_span + 1).select(
+    wanted = df.sparkSession.range(0, window.day_span + 1, 1, 1).select(
         F.date_add(F.to_date(ntz(window.start)), F.col("id").cast("int")).alias("day")
     )
     found = df.where(window.covers(F.col(time))).select(F.to_date(time).alias("day"))

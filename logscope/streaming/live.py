@@ -117,16 +117,27 @@ def table_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
         "checkpointLocation", checkpoint)
 
 
-def latest_result_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A complete-mode writer: each batch replaces the whole result, as a refresh does."""
+def result_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A complete-mode writer: each batch adds the whole result as a new version.
 
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A version is a folder of its own, written again if its batch runs again, so
+    readers of the version before it are never disturbed.
+    """
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.outputMode("complete").option(
         "checkpointLocation", checkpoint).foreachBatch(replace)
 
 
+def latest_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest version in a folder of results."""
+    versions = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    newest = versions.agg(F.max("batch")).scalar()
+    return versions.where(F.col("batch") == newest).drop("batch")
+
+
 def trend_of_buckets(
     buckets: DataFrame, window: TimeWindow, ago: timedelta
 ) -> DataFrame:
@@ -146,17 +157,14 @@ def trend_sink(
     histogram: DataFrame, table: str, result: str, checkpoint: str, window: TimeWindow,
     ago: timedelta,
 ) -> DataStreamWriter:
-    """Keep the closed buckets in ``table`` and the trend over them in ``result``.
-
-    A batch lands in its own folder, overwritten if the batch runs again.
-    """
+    """Keep the closed buckets in ``table`` and versions of the trend over them in ``result``."""
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
         closed = spark.read.schema(f"{_BUCKET_SCHEMA}, batch bigint").parquet(table)
-        # On a rerun of an old batch, later folders cannot exist yet.
-        trend_of_buckets(closed, window, ago).write.mode("overwrite").parquet(result)
+        trend_of_buckets(closed, window, ago).write.mode("overwrite").parquet(
+            f"{result}/batch={batch_id}")
 
     return histogram.writeStream.outputMode("append").option(
         "checkpointLocation", checkpoint).foreachBatch(refresh)

@@ -284,9 +284,9 @@ SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ())
   / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()) * 10, 6) AS scaled FROM orders
 """)
 def fn_rescale(t: Tables) -> DataFrame:
-    bounds = t.orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    scaled = numbers.rescale(F.col("o_totalprice"), bounds.select("lo").scalar(),
-                             bounds.select("hi").scalar())
+    bounds = t.orders.agg(F.struct(F.min("o_totalprice").alias("lo"),
+                                   F.max("o_totalprice").alias("hi"))).scalar()
+    scaled = numbers.rescale(F.col("o_totalprice"), bounds["lo"], bounds["hi"])
     return t.orders.select("o_orderkey", F.round(scaled, 6).alias("scaled"))
 
 

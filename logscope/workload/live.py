@@ -69,8 +69,9 @@ SELECT event_type AS value, count(*) AS count, min(value) AS min, max(value) AS
 """)
 def stream_terms(t: Tables) -> DataFrame:
     found = live.live_terms(_stream(t), "event_type", "value")
-    path = _work_off(t, "live-terms", lambda data, state: live.latest_result_sink(found, data, state))
-    rows = t.spark.read.schema(found.schema).parquet(path)
+    path = _work_off(t, "live-terms", lambda data, state: live.result_sink(found, data, state))
+    rows = live.latest_result(
+        t.spark, path, "value string, count bigint, min double, max double, mean double, sum double")
     return rows.withColumns({"mean": F.round("mean", 6), "sum": F.round("sum", 4)})
 
 
@@ -118,5 +119,5 @@ def stream_trend(t: Tables) -> DataFrame:
     live.run_available(live.trend_sink(
         counts, f"{folder}/buckets", f"{folder}/trend", f"{folder}/checkpoint", now,
         timedelta(days=7)))
-    return t.spark.read.schema("query string, now bigint, then bigint, percent double").parquet(
-        f"{folder}/trend")
+    return live.latest_result(
+        t.spark, f"{folder}/trend", "query string, now bigint, then bigint, percent double")
