@@ -35,7 +35,10 @@ WIDTH_LADDER = (
 MONTH_LIMIT_MS, MONTH_MS, YEAR_MS = 3628800000, 2592000000, 31536000000
 
 # From so many seconds a bucket, label times so.
-TIME_PATTERNS = ((2628000, "MM/yy"), (86400, "MM/dd/yy"), (60, "HH:mm'<br>'MM/dd"), (0, "HH:mm:ss"))
+TIME_PATTERNS = ((2628000, "MM/yy"), (86400, "MM/dd/yy"), (60, "HH:mm<br>MM/dd"), (0, "HH:mm:ss"))
+
+# Where each part stands in the text of a timestamp.
+_TEXT_PARTS = {"yy": 3, "MM": 6, "dd": 9, "HH": 12, "mm": 15, "ss": 18}
 
 _INTERVAL = re.compile(r"(\d+)(?:\.\d+)?([Mwdhmsy])")
 
@@ -143,4 +146,8 @@ def time_pattern(interval: Interval) -> str:
 
 def time_text(ts: Column, interval: Interval) -> Column:
     """A timestamp as a label that suits a bucket width."""
-    return F.date_format(ts, time_pattern(interval))
+    pieces = re.split("(yy|MM|dd|HH|mm|ss)", time_pattern(interval))
+    text = ts.cast("string")
+    return F.concat(*(
+        F.substring(text, _TEXT_PARTS[p], 2) if p in _TEXT_PARTS else F.lit(p) for p in pieces if p
+    ))

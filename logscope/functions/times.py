@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
@@ -43,8 +43,20 @@ def ntz(value: str | datetime) -> Column:
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds between 1970-01-01 and a zone-less timestamp."""
-    return F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), ts)
+    """Microseconds between 1970-01-01 and a zone-less timestamp.
+
+    Built from the parts of the wall time: a timestamp difference would read
+    both sides in the session zone and jump where that zone does.
+    """
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    fraction = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    days = F.unix_date(F.to_date(ts)).cast("bigint")
+    return days * 86_400_000_000 + seconds.cast("bigint") * 1_000_000 + fraction
+
+
+def literal_micros(moment: datetime) -> int:
+    """:func:`epoch_micros` of a time known when the plan is built."""
+    return (moment - datetime(1970, 1, 1)) // timedelta(microseconds=1)
 
 
 def epoch_millis(ts: Column) -> Column:
@@ -103,9 +115,13 @@ def span_days(start: Column, end: Column) -> Column:
     return F.date_diff(F.to_date(end), F.to_date(start))
 
 
+def _compact(day: Column) -> Column:
+    return F.replace(day.cast("string"), F.lit("-"), F.lit(""))
+
+
 def day_key(ts: Column) -> Column:
     """``yyyyMMdd`` as text, the value of the ``day`` partition column."""
-    return F.date_format(F.to_date(ts), "yyyyMMdd")
+    return _compact(F.to_date(ts))
 
 
 def day_label(ts: Column, prefix: str = "tb_") -> Column:
@@ -118,7 +134,7 @@ def neighbor_day_label(
 ) -> Column:
     """The day label ``step`` days on; with ``latest``, never past it."""
     day = F.to_date(F.substring(label, len(prefix) + 1, 8), "yyyyMMdd")
-    moved = F.concat(F.lit(prefix), F.date_format(F.date_add(day, step), "yyyyMMdd"))
+    moved = F.concat(F.lit(prefix), _compact(F.date_add(day, step)))
     if latest is None:
         return moved
     return F.when(label >= latest, label).otherwise(F.least(moved, latest))

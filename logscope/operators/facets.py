@@ -259,7 +259,8 @@ def derived_queries(
         own, rest_hits = F.col("_q"), (
             F.col("_n") - top.agg(F.coalesce(F.sum("_q"), F.lit(0))).scalar())
     else:
-        own = F.col("_n") + whole.select("_q").scalar() - F.col("_q")
+        sums = whole.select(F.struct("_n", "_q")).scalar()
+        own = F.col("_n") + sums["_q"] - F.col("_q")
         rest_hits = F.col("_n") - F.col("_q") - (
             top.agg(F.coalesce(F.sum(F.col("_n") - F.col("_q")), F.lit(0))).scalar())
     named = top.select(F.col("value").cast("string").alias("query"), own.alias("hits"))

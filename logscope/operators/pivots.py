@@ -26,13 +26,15 @@ def _sums(cells: DataFrame, side: str) -> DataFrame:
 
 def _top(cells: DataFrame, side: str, limit: int) -> DataFrame:
     ordered = _sums(cells, side).orderBy(F.col("_n").desc(), F.col(side).asc())
-    return ordered.limit(limit).select(side)
+    return ordered.limit(limit)
 
 
 def _with_zero_cells(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Zero cells of every (row, column); the columns travel as one bounded list."""
-    listed = columns.agg(F.collect_list("col")).scalar()
-    return rows.select("row", F.explode(listed).alias("col"), F.lit(0).cast("bigint").alias("count"))
+    listed = columns.agg(F.collect_list(F.struct("col", "_n"))).scalar()
+    return rows.select(
+        "row", F.explode(listed["col"]).alias("col"), F.lit(0).cast("bigint").alias("count")
+    )
 
 
 def pivot(
@@ -46,8 +48,8 @@ def pivot(
     """
     cells = cell_counts(df, row, col, where)
     rows = _top(cells, "row", limit)
-    candidates = _sums(cells, "col").orderBy("col").limit(2 * limit).select("col")
-    shown = cells.join(F.broadcast(rows), "row")
+    candidates = _sums(cells, "col").orderBy("col").limit(2 * limit)
+    shown = cells.join(F.broadcast(rows.select("row")), "row")
     zeros = _with_zero_cells(rows, candidates)
     both = shown.unionByName(zeros).groupBy("row", "col").agg(F.sum("count").alias("count"))
     return top_per_group(both, ["row"], [F.col("count").desc(), F.col("col").asc()], limit)
@@ -60,7 +62,9 @@ def matrix(
     """Every cell of the most frequent rows and columns, zeros included."""
     cells = cell_counts(df, row, col, where)
     top_rows, top_cols = _top(cells, "row", rows), _top(cells, "col", cols)
-    shown = cells.join(F.broadcast(top_rows), "row").join(F.broadcast(top_cols), "col")
+    shown = cells.join(F.broadcast(top_rows.select("row")), "row").join(
+        F.broadcast(top_cols.select("col")), "col"
+    )
     zeros = _with_zero_cells(top_rows, top_cols)
     return shown.unionByName(zeros).groupBy("row", "col").agg(F.sum("count").alias("count"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logscope.functions.intervals import Interval, auto_interval
 from logscope.functions.numbers import percent_change
-from logscope.functions.times import add_units, epoch_micros, ntz
+from logscope.functions.times import epoch_micros, literal_micros, ntz
 from logscope.functions.windows import TimeWindow
 from logscope.operators.predicates import Query, keep, match_all
 from logscope.operators.ranking import top_per_group
@@ -24,7 +24,7 @@ def bucket_number(ts: Column, start, interval: Interval) -> Column:
     from ``start`` itself, so the 31st clamps without drifting.
     """
     if not interval.months:
-        elapsed = F.timestamp_diff("MICROSECOND", ntz(start), ts)
+        elapsed = epoch_micros(ts) - F.lit(literal_micros(start))
         return F.floor(elapsed / F.lit(interval.micros)).cast("bigint")
     months = (F.year(ts) - start.year) * 12 + F.month(ts) - start.month
     begun = F.timestamp_add("MONTH", months, ntz(start)) <= ts

@@ -86,7 +86,7 @@ SELECT event_type, span, CAST(CASE
 """)
 def fn_auto_width(t: Tables) -> DataFrame:
     spans = t.events.groupBy("event_type").agg(
-        F.timestamp_diff("MILLISECOND", F.min("ts"), F.max("ts")).alias("span"))
+        F.floor((times.epoch_micros(F.max("ts")) - times.epoch_micros(F.min("ts"))) / 1000).alias("span"))
     return spans.withColumn("width", intervals.auto_width_ms(F.col("span")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logscope.functions.text import words
+from logscope.functions.times import day_key
 from logscope.operators import facets, geo, pivots
 from logscope.operators.predicates import term
 from logscope.plans.search import SearchPage, search
@@ -137,7 +138,7 @@ SELECT r.row, v.col, coalesce(c.count, 0) AS count FROM r, v
 LEFT JOIN c ON c.row = r.row AND c.col = v.col
 """)
 def pivot_matrix(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("day", F.date_format(F.to_date("ts"), "yyyyMMdd"))
+    rows = t.events.withColumn("day", day_key(F.col("ts")))
     return pivots.matrix(rows, "user_id", "day", 12, 9, where=term("event_type", "error"))
 
 
