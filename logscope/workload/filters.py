@@ -202,10 +202,10 @@ def filter_excludes(t: Tables) -> DataFrame:
 
 @query("PRD-18 FN-20", """
 SELECT event_id FROM events
-WHERE user_id % 180 - 90 BETWEEN -60 AND -20 AND event_id % 360 - 180 BETWEEN -100 AND 50.5
+WHERE user_id % 180 - 90 BETWEEN -88 AND -20 AND event_id % 360 - 180 BETWEEN -100 AND 50.5
 """)
 def filter_geo_box(t: Tables) -> DataFrame:
-    return event_points(t).where(p.in_box("point", (-60, -100), (-20, 50.5))).select("event_id")
+    return event_points(t).where(p.in_box("point", (-88, -100), (-20, 50.5))).select("event_id")
 
 
 def event_points(t: Tables) -> DataFrame:
