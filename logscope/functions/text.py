@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-_BREAK = r"[^\p{L}\p{N}]+"
+# Naming the common characters first spares most of them the look-up of their class.
+_BREAK = r"[^a-z0-9\p{L}\p{N}]+"
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 # Patterns of the three kinds of link.
@@ -23,21 +24,26 @@ XML_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (
 
 def words(text: Column, stop_words: Sequence[str] = ()) -> Column:
     """Lower-case word list without stop words, in text order."""
-    parts = F.split(F.lower(text), _BREAK)
-    drop = ["", *sorted({w.lower() for w in stop_words})]
+    parts = F.array_remove(F.split(F.lower(text), _BREAK), "")
+    if not stop_words:
+        return parts
+    drop = sorted({w.lower() for w in stop_words})
     return F.filter(parts, lambda w: ~w.isin(drop))
 
 
-def word_text(text: Column, stop_words: Sequence[str] = ()) -> Column:
-    """The word list as one text, each word with a blank on either side.
+def distinct_words(text: Column, stop_words: Sequence[str] = ()) -> Column:
+    """The different words of :func:`words`."""
+    drop = ["", *sorted({w.lower() for w in stop_words})]
+    return F.array_except(F.split(F.lower(text), _BREAK), F.array(*(F.lit(w) for w in drop)))
+
 
-    Word and phrase tests become a single substring search over it.
-    """
+def phrase_pattern(phrase: Sequence[str], stop_words: Sequence[str] = ()) -> str:
+    """A pattern for words next to each other in lower-case text; stop words between do not count."""
+    gap = _BREAK
     if stop_words:
-        joined = F.array_join(words(text, stop_words), " ")
-    else:
-        joined = F.trim(F.regexp_replace(F.lower(text), _BREAK, " "))
-    return F.concat(F.lit(" "), joined, F.lit(" "))
+        dropped = "|".join(re.escape(w) for w in sorted({w.lower() for w in stop_words}))
+        gap = f"{_BREAK}(?:(?:{dropped}){_BREAK})*"
+    return _NO_WORD_BEFORE + gap.join(re.escape(w) for w in phrase) + _NO_WORD_AFTER
 
 
 def query_words(text: str, stop_words: Sequence[str] = ()) -> list[str]:
@@ -69,8 +75,11 @@ def snippet(text: Column, length: int, columns: int = 1) -> Column:
 
 def links(text: Column, kind: str) -> Column:
     """All links of one kind in a text, in text order."""
-    group = 1 if kind == "host" else 0
-    return F.regexp_extract_all(text, F.lit(LINK_PATTERNS[kind]), F.lit(group))
+    group, sign = (1, "www.") if kind == "host" else (0, "://" if kind == "url" else "@")
+    found = F.regexp_extract_all(text, F.lit(LINK_PATTERNS[kind]), F.lit(group))
+    # Most texts hold none; a plain search tells so before the pattern has to.
+    possible = F.contains(F.lower(text) if kind == "host" else text, F.lit(sign))
+    return F.when(possible, found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def xml_escape(text: Column) -> Column:

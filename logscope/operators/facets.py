@@ -8,7 +8,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logscope.functions.numbers import percent_of, rescale
-from logscope.functions.text import words
+from logscope.functions.text import distinct_words
 from logscope.operators.predicates import Query, excludes, keep
 from logscope.operators.ranking import top_per_group
 
@@ -151,7 +151,7 @@ def tag_cloud(
     """
     base = keep(df, where)
     # Each row also brings one null word: its count is the number of rows, in the same pass.
-    tokens = F.array_distinct(words(F.col(text), stop_words))
+    tokens = distinct_words(F.col(text), stop_words)
     one_null = F.array(F.lit(None).cast("string"))
     counts = value_counts(base.select(
         F.explode(F.concat(F.coalesce(tokens, F.array().cast("array<string>")), one_null)

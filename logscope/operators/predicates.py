@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -11,7 +11,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logscope.functions.numbers import latitude, longitude
-from logscope.functions.text import expand_synonyms, query_words, word_text
+from logscope.functions.text import expand_synonyms, phrase_pattern, query_words
 
 
 def match_all() -> Column:
@@ -24,25 +24,39 @@ def term(field: str, value) -> Column:
     return F.col(field) == F.lit(value)
 
 
-def _has_words(text: Column, normal: Column, phrase: str) -> Column:
-    # The raw substring tests are cheap and drop most rows before the text is analysed.
-    cheap = reduce(and_, [F.contains(F.lower(text), F.lit(w)) for w in phrase.split(" ")])
-    return cheap & F.contains(normal, F.lit(f" {phrase} "))
+def _text_test(field: str, test: Callable[[Column], Column]) -> Column:
+    """A test of a field's lower-case text. The one-item list binds it, so it is made once a row."""
+    return F.exists(F.array(F.lower(F.col(field))), test)
+
+
+def _has_phrase(text: Column, wanted: Sequence[str], stop_words: Sequence[str]) -> Column:
+    # The plain searches are cheap and drop most rows before the pattern runs.
+    plain = [F.contains(text, F.lit(w)) for w in wanted]
+    return reduce(and_, [*plain, F.rlike(text, F.lit(phrase_pattern(wanted, stop_words)))])
+
+
+def _every_word(text: Column, choices: Sequence[Sequence[str]], stop_words: Sequence[str]) -> Column:
+    """Of each list of choices the text holds at least one."""
+    return reduce(and_, [
+        reduce(or_, [_has_phrase(text, query_words(c, stop_words), stop_words) for c in each])
+        for each in choices
+    ])
 
 
 def phrase(field: str, text: str, stop_words: Sequence[str] = ()) -> Column:
     """The analysed field holds these words next to each other, in this order."""
-    wanted = " ".join(query_words(text, stop_words))
+    wanted = query_words(text, stop_words)
     if not wanted:
         return match_all()
-    return _has_words(F.col(field), word_text(F.col(field), stop_words), wanted)
+    return _text_test(field, lambda t: _has_phrase(t, wanted, stop_words))
 
 
 def all_words(field: str, text: str, stop_words: Sequence[str] = ()) -> Column:
     """The analysed field holds every word of the query text."""
-    normal = word_text(F.col(field), stop_words)
-    found = [_has_words(F.col(field), normal, w) for w in query_words(text, stop_words)]
-    return reduce(and_, found, match_all())
+    wanted = [[w] for w in query_words(text, stop_words)]
+    if not wanted:
+        return match_all()
+    return _text_test(field, lambda t: _every_word(t, wanted, stop_words))
 
 
 def any_field_word(fields: Sequence[str], text: str, stop_words: Sequence[str] = ()) -> Column:
@@ -57,11 +71,12 @@ def words_or_synonyms(
     field: str, text: str, synonyms: Mapping[str, Sequence[str]], stop_words: Sequence[str] = ()
 ) -> Column:
     """Every query word, or one of its synonyms, occurs in the analysed field."""
-    every = []
-    for word in query_words(text, stop_words):
-        choices = expand_synonyms(word, synonyms)
-        every.append(any_of(*(phrase(field, choice, stop_words) for choice in choices)))
-    return all_of(*every)
+    found = (expand_synonyms(w, synonyms) for w in query_words(text, stop_words))
+    # A synonym of nothing but stop words can match nothing.
+    wanted = [[c for c in choices if query_words(c, stop_words)] for choices in found]
+    if not wanted:
+        return match_all()
+    return _text_test(field, lambda t: _every_word(t, wanted, stop_words))
 
 
 def all_of(*predicates: Column) -> Column:

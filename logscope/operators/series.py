@@ -176,10 +176,10 @@ def multi_series(
     df: DataFrame, axis: str, measures: Sequence[str], where: Column | None = None
 ) -> DataFrame:
     """``(axis, series, value)`` in axis order; values that are no number are left out."""
-    numbers = keep(df, where).select(
-        F.col(axis).alias("axis"),
-        *(F.col(m).cast("string").try_cast("double").alias(m) for m in measures),
-    )
+    rows = keep(df, where)
+    numbers = rows.select(F.col(axis).alias("axis"), *(
+        F.col(m).try_cast("double").alias(m) for m in measures
+    ))
     long = numbers.unpivot("axis", list(measures), "series", "value")
     return long.where(F.col("value").isNotNull() & ~F.isnan("value")).orderBy("axis")
 
