@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
 def numeric_gap(low: Column, high: Column, bars: int = 100) -> Column:
     """Bucket width for a numeric range: half-up rounded share plus one."""
     return F.floor((high - low) / F.lit(bars) + F.lit(0.5)) + 1
@@ -27,9 +30,11 @@ def thousands(number: Column) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Text as double; null where it is no number."""
-    number = text.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """Text as double; null where it is no number.
+
+    The pattern comes first since a failed cast costs far more than a failed match.
+    """
+    return F.when(F.rlike(text, F.lit(_NUMBER)), text.try_cast("double"))
 
 
 def rescale(
@@ -42,9 +47,9 @@ def rescale(
 
 def latitude(point: Column) -> Column:
     """First part of ``"lat,lon"`` as double; null where it is no number."""
-    return F.split_part(point, F.lit(","), F.lit(1)).try_cast("double")
+    return to_number(F.split_part(point, F.lit(","), F.lit(1)))
 
 
 def longitude(point: Column) -> Column:
     """Second part of ``"lat,lon"`` as double; null where it is no number."""
-    return F.split_part(point, F.lit(","), F.lit(2)).try_cast("double")
+    return to_number(F.split_part(point, F.lit(","), F.lit(2)))

@@ -13,10 +13,17 @@ from logscope.operators.predicates import keep
 def look_up(hits: DataFrame, records: DataFrame, key: str, stubs: bool = True) -> DataFrame:
     """Full records of the hit keys. ``stubs`` keeps a key without a record, fields null.
 
-    No side is forced into a broadcast: the sizes decide, and adaptive execution
-    splits a key that holds too many rows.
+    The hits are few and the records many, so this is an inner join: it may
+    broadcast the hits if their size allows, and otherwise adaptive execution can
+    split a hot key of either side. A left join could do neither for the records.
+    The stubs then come from the hits and the keys found, which are no more than the hits.
     """
-    return hits.join(records, key, "left" if stubs else "inner")
+    matched = hits.join(records, key)
+    if not stubs:
+        return matched
+    found = matched.select(key).distinct()
+    lonely = hits.join(found, key, "left_anti")
+    return matched.unionByName(lonely, allowMissingColumns=True)
 
 
 def _top(df: DataFrame, field: str, size: int, exclude: Sequence, where: Column | None) -> DataFrame:

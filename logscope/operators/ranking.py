@@ -10,18 +10,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _MAP_SIDE_LIMIT = 1000
 
 
+def _last_slice_needed(n: int) -> Column:
+    """Over ``(_slice, count)`` rows: the slice in which the running count reaches ``n``."""
+    in_order = F.array_sort(F.collect_list(F.struct("_slice", "count")))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("run"), F.get(in_order, 0)["_slice"].alias("cut"))
+    return F.aggregate(in_order, nothing, lambda so_far, s: F.struct(
+        (so_far["run"] + s["count"]).alias("run"),
+        F.when(so_far["run"] < n, s["_slice"]).otherwise(so_far["cut"]).alias("cut"),
+    ))["cut"]
+
+
+def first_rows(df: DataFrame, slice_by: Column, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in a (total) ascending order.
+
+    ``slice_by`` must not decrease along that order, such as the hour of the
+    leading time. For a large ``n`` the rows are counted by slice first, and only
+    those of the slices that reach ``n`` are sorted.
+    """
+    if n > _MAP_SIDE_LIMIT:
+        counts = df.groupBy(slice_by.alias("_slice")).count()
+        cut = counts.agg(_last_slice_needed(n)).scalar()
+        df = df.where(slice_by.isNull() | (slice_by <= cut))
+    return df.orderBy(*order).limit(n)
+
+
 def top_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None,
-    salts: int = 64,
+    slice_by: Column | None = None, salts: int = 64,
 ) -> DataFrame:
     """The first ``n`` rows of each group in the given (total) order.
 
-    A large ``n`` first cuts salted slices of each group, so a hot group is
-    ranked by many tasks and only ``salts * n`` of its rows meet in one. That
-    bound is what makes ``n`` a limit to choose with the memory of a task.
+    A small ``n`` is cut in the map tasks. For a large one, ``slice_by`` (see
+    :func:`first_rows`) first drops the slices a group does not need; then salted
+    parts of each group are cut, so a hot group is ranked by many tasks and
+    at most ``salts * n`` of its rows meet in one.
     """
     name = rank or "_rank"
     if n > _MAP_SIDE_LIMIT:
+        if slice_by is not None:
+            df = _needed_slices(df, groups, slice_by, n)
         # A hash of the row, not a task-local number: a task that runs again salts alike.
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
         local = Window.partitionBy(*groups, "_salt").orderBy(*order)
@@ -33,6 +60,16 @@ def top_per_group(
     return ranked if rank else ranked.drop(name)
 
 
+def _needed_slices(df: DataFrame, groups: Sequence[str], slice_by: Column, n: int) -> DataFrame:
+    sliced = df.withColumn("_slice", slice_by)
+    counts = sliced.groupBy(*groups, "_slice").count()
+    cuts = counts.groupBy(*(F.col(g).alias(f"_of_{g}") for g in groups)).agg(
+        _last_slice_needed(n).alias("_cut"))
+    same = [sliced[g].eqNullSafe(cuts[f"_of_{g}"]) for g in groups]
+    early = F.col("_slice").isNull() | (F.col("_slice") <= F.col("_cut"))
+    return sliced.join(cuts, [*same, early]).select(*df.columns)
+
+
 def rank_in_group(
     df: DataFrame, group: str, slice_by: Column, order: Sequence[Column], rank: str = "rank"
 ) -> DataFrame:

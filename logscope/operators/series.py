@@ -10,11 +10,11 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logscope.functions.intervals import Interval, auto_interval
-from logscope.functions.numbers import percent_change
-from logscope.functions.times import epoch_micros, literal_micros, ntz
+from logscope.functions.numbers import percent_change, to_number
+from logscope.functions.times import epoch_micros, floor_to, literal_micros, ntz
 from logscope.functions.windows import TimeWindow
 from logscope.operators.predicates import Query, keep, match_all
-from logscope.operators.ranking import top_per_group
+from logscope.operators.ranking import first_rows, top_per_group
 
 
 def bucket_number(ts: Column, start, interval: Interval) -> Column:
@@ -151,7 +151,8 @@ def raw_series(
     where: Column | None = None,
 ) -> DataFrame:
     """The first ``max_rows`` values in time order, ties by key."""
-    return keep(df, where).select(time, *key, field).orderBy(time, *key).limit(max_rows)
+    rows = keep(df, where).select(time, *key, field)
+    return first_rows(rows, _hour(time), [F.col(time), *(F.col(k) for k in key)], max_rows)
 
 
 def raw_series_by_group(
@@ -160,7 +161,12 @@ def raw_series_by_group(
 ) -> DataFrame:
     """The first ``max_rows`` values of every group in time order, ties by key."""
     rows = keep(df, where).select(group, time, *key, field)
-    return top_per_group(rows, [group], [F.col(time), *(F.col(k) for k in key)], max_rows)
+    order = [F.col(time), *(F.col(k) for k in key)]
+    return top_per_group(rows, [group], order, max_rows, slice_by=_hour(time))
+
+
+def _hour(time: str) -> Column:
+    return floor_to(F.col(time), "HOUR")
 
 
 def scatter(
@@ -173,15 +179,23 @@ def scatter(
 
 
 def multi_series(
-    df: DataFrame, axis: str, measures: Sequence[str], where: Column | None = None
+    df: DataFrame, axis: str, measures: Sequence[str], key: Sequence[str] = (),
+    where: Column | None = None,
 ) -> DataFrame:
-    """``(axis, series, value)`` in axis order; values that are no number are left out."""
+    """``(axis, series, value)`` in axis order; values that are no number are left out.
+
+    ``key`` orders the rows of one axis value, so a frequent one can be sorted by many tasks.
+    """
     rows = keep(df, where)
-    numbers = rows.select(F.col(axis).alias("axis"), *(
-        F.col(m).try_cast("double").alias(m) for m in measures
+    ids = [F.col(k).alias(f"_key{i}") for i, k in enumerate(key)]
+    numbers = rows.select(F.col(axis).alias("axis"), *ids, *(
+        (to_number(F.col(m)) if rows.schema[m].dataType.typeName() == "string"
+         else F.col(m).cast("double")).alias(m) for m in measures
     ))
-    long = numbers.unpivot("axis", list(measures), "series", "value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value")).orderBy("axis")
+    kept = [c for c in numbers.columns if c not in measures]
+    long = numbers.unpivot(kept, list(measures), "series", "value")
+    found = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return found.orderBy(*kept, "series").select("axis", "series", "value")
 
 
 # Operators over a finished (series, bucket, count) table. It has one row per

@@ -70,10 +70,16 @@ def moving_hits(
     stream: DataFrame, time: str, length: str = "15 minutes", step: str = "1 minute",
     late: str = "1 hour", where: Column | None = None,
 ) -> DataFrame:
-    """``(window_end, hits)``: matching rows of the last ``length``, every ``step``."""
+    """``(window_end, hits)``: matching rows of the last ``length``, every ``step``.
+
+    Rows are counted by step first, so a row is handled once and only the step
+    counts are spread over the windows they belong to. ``step`` must divide ``length``.
+    """
     timed = with_event_time(keep(stream, where), time, late)
-    sliding = F.window(_EVENT_TIME, length, step).alias("_window")
-    return timed.groupBy(sliding).agg(F.count(F.lit(1)).alias("hits")).select(
+    steps = timed.groupBy(F.window(_EVENT_TIME, step).alias("window")).agg(
+        F.count(F.lit(1)).alias("_hits"))
+    sliding = F.window(F.window_time("window"), length, step).alias("_window")
+    return steps.groupBy(sliding).agg(F.sum("_hits").alias("hits")).select(
         from_instant(F.col("_window.end")).alias("window_end"), "hits"
     )
 

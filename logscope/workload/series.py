@@ -171,7 +171,8 @@ FROM lineitem WHERE TRY_CAST(l_returnflag || l_linenumber AS DOUBLE) IS NOT NULL
 """)
 def chart_multi_series(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("code", F.concat("l_returnflag", "l_linenumber"))
-    return series.multi_series(rows, "l_shipdate", ["l_quantity", "l_tax", "code"])
+    return series.multi_series(rows, "l_shipdate", ["l_quantity", "l_tax", "code"],
+                               key=["l_orderkey", "l_linenumber"])
 
 
 # Zero-filling, over the sparse hourly counts of expensive events.

@@ -104,6 +104,15 @@ def test_other_rows_keep_missing_values(kinds):
     assert sorted(r["id"] for r in other.collect()) == [0, 1, 2, 11, 12, 13, 14, 15, 16]
 
 
+def test_look_up(spark):
+    hits = spark.createDataFrame([(1, "p"), (2, "q"), (2, "r"), (None, "s")], "k int, h string")
+    stored = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z"), (None, "n")], "k int, v string")
+    matched = [(2, "q", "x"), (2, "q", "y"), (2, "r", "x"), (2, "r", "y")]
+    assert sorted(listed(joins.look_up(hits, stored, "k", stubs=False))) == matched
+    got = listed(joins.look_up(hits, stored, "k"))
+    assert sorted(got, key=str) == sorted([*matched, (1, "p", None), (None, "s", None)], key=str)
+
+
 def test_grid_leaves_out_bad_points(spark):
     rows = spark.createDataFrame([("1,1",), ("2,3",), ("-1,1",), ("x,1",), (None,)], "at string")
     got = {tuple(r)[:3] for r in geo.grid_clusters(rows, "at", 10.0).collect()}

@@ -11,7 +11,7 @@ from logscope.functions.intervals import Interval
 from logscope.functions.windows import TimeWindow
 from logscope.operators import series
 from logscope.operators.predicates import Query, match_all
-from logscope.operators.ranking import rank_in_group, top_per_group
+from logscope.operators.ranking import first_rows, rank_in_group, top_per_group
 
 HOUR = timedelta(hours=1)
 START = datetime(2024, 1, 1)
@@ -168,6 +168,40 @@ def test_top_per_group(spark, n):
     assert {r["r"] for r in got} == set(range(1, n + 1))
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """4000 rows; slice 3 holds a third of them, one group nine tenths, some slices are null."""
+    third = F.when(F.col("id") % 3 == 0, 30).otherwise(F.floor(F.col("id") / 40))
+    return spark.range(4000).select(
+        "id", F.when(F.col("id") % 10 < 9, "hot").otherwise(F.lit(None)).alias("g"),
+        F.when(F.col("id") % 50 != 7, third).alias("t")).repartition(8)
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r["t"] is not None, r["t"] or 0, r["id"]))
+
+
+@pytest.mark.parametrize("n", [10, 1001, 1500, 3999, 9000])
+def test_first_rows_by_slices(hot, n):
+    got = first_rows(hot, F.floor(F.col("t") / 10), [F.col("t"), F.col("id")], n).collect()
+    assert [r["id"] for r in got] == [r["id"] for r in in_order(hot.collect())[:n]]
+
+
+@pytest.mark.parametrize("n", [1001, 1500, 3999])
+def test_top_per_group_by_slices(hot, n):
+    got = top_per_group(hot, ["g"], [F.col("t"), F.col("id")], n, slice_by=F.floor(F.col("t") / 10))
+    want = set()
+    for group in ("hot", None):
+        want |= {r["id"] for r in in_order([r for r in hot.collect() if r["g"] == group])[:n]}
+    assert {r["id"] for r in got.collect()} == want and got.columns == hot.columns
+
+
+def test_slices_out_of_reach_are_not_sorted(hot):
+    found = first_rows(hot, F.floor(F.col("t") / 10), [F.col("t"), F.col("id")], 1001)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan and plan.index("Sort") < plan.index("scalar-subquery")
+
+
 def test_multi_series_drops_what_is_no_number(spark):
     rows = spark.createDataFrame([(1, "1.5", "x"), (2, "NaN", "7"), (3, None, "8")],
                                  "at int, a string, b string")
