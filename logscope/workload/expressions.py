@@ -94,10 +94,10 @@ def fn_auto_width(t: Tables) -> DataFrame:
 SELECT event_id, CASE WHEN s >= 31536000 THEN (s // 31536000) || 'y' WHEN s >= 86400 THEN
   (s // 86400) || 'd' WHEN s >= 3600 THEN (s // 3600) || 'h' WHEN s >= 60 THEN (s // 60) || 'm'
   WHEN s > 0 THEN s || 's' ELSE 'less then a second' END AS text
-FROM (SELECT event_id, CAST(event_id * event_id AS BIGINT) AS s FROM events)
+FROM (SELECT event_id, CAST(floor(value * value * 200) AS BIGINT) AS s FROM events)
 """)
 def fn_duration_text(t: Tables) -> DataFrame:
-    seconds = F.col("event_id") * F.col("event_id")
+    seconds = F.floor(F.col("value") * F.col("value") * 200)
     return t.events.select("event_id", intervals.duration_text(seconds).alias("text"))
 
 

@@ -191,7 +191,7 @@ def pivot_intensity(t: Tables) -> DataFrame:
 
 def _regions(t: Tables) -> DataFrame:
     named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    mixed = F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
+    mixed = F.when(F.col("c_acctbal") < 4500, F.lower("n_name")).otherwise(F.col("n_name"))
     return named.withColumn("state", mixed)
 
 
@@ -214,17 +214,19 @@ def map_region_stats(t: Tables) -> DataFrame:
 
 
 @query("AGG-23", """
-SELECT ts, event_id, CAST(user_id % 180 - 90 AS DOUBLE) AS lat,
-       CAST(event_id % 360 - 180 AS DOUBLE) AS lon FROM events
-WHERE user_id % 180 - 90 BETWEEN -80 AND 0 AND event_id % 360 - 180 BETWEEN -90 AND 90
+SELECT * FROM (
+  SELECT ts, event_id, value * 0.36::DOUBLE - 90 AS lat,
+         hour(ts) * 15 + minute(ts) * 0.25::DOUBLE - 180 AS lon FROM events)
+WHERE lat BETWEEN -85 AND 0 AND lon BETWEEN -90 AND 90
 ORDER BY ts DESC, event_id LIMIT 200
 """)
 def map_latest_points(t: Tables) -> DataFrame:
-    return geo.latest_points(event_points(t), "point", "ts", ["event_id"], (-80, -90), (0, 90), 200)
+    return geo.latest_points(event_points(t), "point", "ts", ["event_id"], (-85, -90), (0, 90), 200)
 
 
 @query("AGG-24", """
-WITH p AS (SELECT user_id % 180 - 90 AS lat, event_id % 360 - 180 AS lon FROM events)
+WITH p AS (SELECT value * 0.36::DOUBLE - 90 AS lat,
+                  hour(ts) * 15 + minute(ts) * 0.25::DOUBLE - 180 AS lon FROM events)
 SELECT CAST(floor(lat / 10.0) AS BIGINT) AS cell_lat, CAST(floor(lon / 10.0) AS BIGINT) AS cell_lon,
        count(*) AS count, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
 FROM p GROUP BY 1, 2

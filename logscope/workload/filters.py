@@ -202,16 +202,18 @@ def filter_excludes(t: Tables) -> DataFrame:
 
 @query("PRD-18 FN-20", """
 SELECT event_id FROM events
-WHERE user_id % 180 - 90 BETWEEN -88 AND -20 AND event_id % 360 - 180 BETWEEN -100 AND 50.5
+WHERE value * 0.36::DOUBLE - 90 BETWEEN -88 AND -70.5
+  AND hour(ts) * 15 + minute(ts) * 0.25::DOUBLE - 180 BETWEEN -100 AND 50.5
 """)
 def filter_geo_box(t: Tables) -> DataFrame:
-    return event_points(t).where(p.in_box("point", (-88, -100), (-20, 50.5))).select("event_id")
+    return event_points(t).where(p.in_box("point", (-88, -100), (-70.5, 50.5))).select("event_id")
 
 
 def event_points(t: Tables) -> DataFrame:
-    """Events with a made-up ``"lat,lon"`` field."""
+    """Events with a made-up ``"lat,lon"`` field: latitude by value, longitude by time of day."""
+    lon = F.hour("ts") * 15 + F.minute("ts") * F.lit(0.25) - 180
     return t.events.withColumn("point", F.concat_ws(
-        ",", F.col("user_id") % 180 - 90, F.col("event_id") % 360 - 180))
+        ",", (F.col("value") * F.lit(0.36) - 90).cast("string"), lon.cast("string")))
 
 
 @query("PRD-19", """

@@ -19,12 +19,10 @@ from logscope.workload.registry import Tables, query
 THREE_DAYS = TimeWindow.of("2024-01-10 06:30:00", "2024-01-13 06:30:00")
 JANUARY = TimeWindow.of("2024-01-01 00:00:00", "2024-01-31 00:00:00")
 
-SHARDS = 93
-
 
 def shard_label() -> Column:
-    """A made-up shard label for an event, as the log tables carry."""
-    return F.concat(F.lit("_shard"), (F.col("event_id") % SHARDS + 1).cast("string"))
+    """A made-up shard label for an event: one shard an hour of the day."""
+    return F.concat(F.lit("_shard"), (F.hour("ts") + 1).cast("string"))
 
 
 @cache
@@ -112,7 +110,7 @@ def source_display_names(t: Tables) -> DataFrame:
 
 @query("SRC-9", """
 WITH k AS (
-  SELECT event_id, epoch_us(ts) // 1000 AS ms, event_id % 8 AS task FROM events
+  SELECT event_id, epoch_us(ts) // 1000 AS ms, minute(ts) AS task FROM events
 ), h AS (
   SELECT *, lpad(to_hex(ms), 16, '0') AS th, lpad(to_hex(task), 4, '0') AS kh FROM k
 )
@@ -124,7 +122,7 @@ SELECT event_id, ms || '#' || task AS rowkey, ms AS key_time, CAST(task AS INTEG
 FROM h
 """)
 def source_row_key(t: Tables) -> DataFrame:
-    keyed = t.events.select("event_id", records.row_key(F.col("ts"), F.col("event_id") % 8).alias("rowkey"))
+    keyed = t.events.select("event_id", records.row_key(F.col("ts"), F.minute("ts")).alias("rowkey"))
     stored = records.storage_key(F.col("rowkey"))
     return keyed.select(
         "event_id", "rowkey", records.row_key_time(F.col("rowkey")).alias("key_time"),
@@ -159,7 +157,7 @@ def source_latest_order(t: Tables) -> DataFrame:
 
 
 @query("AGG-33 FN-27 SRT-11", """
-SELECT strftime(ts, '%Y%m%d') AS day, CAST(event_id % 93 + 1 AS INTEGER) AS shard,
+SELECT strftime(ts, '%Y%m%d') AS day, CAST(hour(ts) + 1 AS INTEGER) AS shard,
        count(*) AS count
 FROM events GROUP BY ALL
 """)
@@ -269,7 +267,7 @@ SELECT event_id, value, event_type FROM events WHERE event_type IN ('click', 'er
   AND strftime(ts, '%Y%m%d') IN ('20240105', '20240106')
 """)
 def set_union_tables(t: Tables) -> DataFrame:
-    rows = day_table(t).select("event_id", "value", "event_type", "day")
+    rows = t.events.select("event_id", "value", "event_type", day_key(F.col("ts")).alias("day"))
     days = [rows.where(F.col("day") == d).drop("day") for d in ("20240105", "20240106")]
     return sets.union_tables(days).where(F.col("event_type").isin("click", "error"))
 
@@ -337,7 +335,7 @@ def hits_per_query(t: Tables) -> DataFrame:
 
 
 @query("SRT-11 FN-4", """
-SELECT 'tb_' || strftime(ts, '%Y%m%d') AS day, '_shard' || (event_id % 93 + 1) AS shard, event_id
+SELECT 'tb_' || strftime(ts, '%Y%m%d') AS day, '_shard' || (hour(ts) + 1) AS shard, event_id
 FROM events
 """)
 def rows_by_shard(t: Tables) -> DataFrame:
