@@ -19,13 +19,7 @@ UNIT_NAMES = {
     "MILLISECOND": "MILLISECOND", "MILLISECONDS": "MILLISECOND",
 }
 
-_UNIT_MICROS = {
-    "MILLISECOND": 1_000,
-    "SECOND": 1_000_000,
-    "MINUTE": 60_000_000,
-    "HOUR": 3_600_000_000,
-    "DAY": 86_400_000_000,
-}
+_UNIT_MICROS = {"MILLISECOND": 1_000, "SECOND": 1_000_000, "MINUTE": 60_000_000}
 
 
 def canonical_unit(unit: str) -> str:
@@ -86,13 +80,21 @@ def add_units(ts: Column, amount: int, unit: str) -> Column:
 
 def floor_to(ts: Column, unit: str) -> Column:
     """``ts`` rounded down to a calendar unit."""
-    name = canonical_unit(unit)
+    name, day = canonical_unit(unit), F.to_date(ts)
     if name in ("YEAR", "MONTH"):
-        return F.trunc(F.to_date(ts), name).cast("timestamp_ntz")
+        return F.trunc(day, name).cast("timestamp_ntz")
+    if name in ("DAY", "HOUR"):
+        begun = day.cast("timestamp_ntz")
+        return begun if name == "DAY" else F.timestamp_add("HOUR", F.hour(ts), begun)
     micros = epoch_micros(ts)
     return from_epoch_micros(micros - F.pmod(micros, F.lit(_UNIT_MICROS[name])))
 
 
+def hour_number(ts: Column) -> Column:
+    """Whole hours since 1970-01-01, the cheapest slice of a time axis."""
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
+
+
 def date_math(ts: Column, steps: Sequence[tuple]) -> Column:
     """Apply ``("round", unit)`` and ``("add", n, unit)`` steps from left to right."""
     for step in steps:

@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import timedelta
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 from decimal import Decimal
+from functools import partial
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logscope.functions.intervals import Interval, auto_interval
 from logscope.functions.numbers import percent_change, to_number
-from logscope.functions.times import epoch_micros, floor_to, literal_micros, ntz
+from logscope.functions.times import hour_number, literal_micros, ntz
 from logscope.functions.windows import TimeWindow
 from logscope.operators.predicates import Query, keep, match_all
 from logscope.operators.ranking import first_rows, top_per_group
 
 
-def bucket_number(ts: Column, start, interval: Interval) -> Column:
-    """Which bucket, counted from 0 at ``start``, a time falls into.
+def bucket_start(number: Column, start: datetime, interval: Interval) -> Column:
+    """Where bucket ``number``, counted from 0 at ``start``, begins.
 
-    Month and year buckets start at ``start`` plus whole months, each derived
+    Month and year buckets begin at ``start`` plus whole months, each derived
     from ``start`` itself, so the 31st clamps without drifting.
     """
+    if interval.months:
+        return F.timestamp_add("MONTH", number * interval.months, ntz(start))
+    return F.timestamp_add("SECOND", number * interval.seconds, ntz(start))
+
+
+def bucket_of(ts: Column, start: datetime, interval: Interval) -> Column:
+    """Where the bucket a time falls into begins. One a select, as Spark's ``window`` demands."""
     if not interval.months:
-        elapsed = epoch_micros(ts) - F.lit(literal_micros(start))
-        return F.floor(elapsed / F.lit(interval.micros)).cast("bigint")
+        return F.window(ts, f"{interval.seconds} seconds", startTime=anchor(start, interval))["start"]
     months = (F.year(ts) - start.year) * 12 + F.month(ts) - start.month
     begun = F.timestamp_add("MONTH", months, ntz(start)) <= ts
-    return F.floor((months - F.when(begun, 0).otherwise(1)) / F.lit(interval.months)).cast("bigint")
+    number = F.floor((months - F.when(begun, 0).otherwise(1)) / F.lit(interval.months))
+    return bucket_start(number.cast("bigint"), start, interval)
 
 
-def bucket_start(number: Column, start, interval: Interval) -> Column:
-    """Where a bucket begins."""
-    if interval.months:
-        return F.timestamp_add("MONTH", number * interval.months, ntz(start))
-    return F.timestamp_add("SECOND", number * interval.seconds, ntz(start))
+def anchor(start: datetime, interval: Interval) -> str:
+    """How far windows counted from 1970 must move to begin at ``start``."""
+    return f"{literal_micros(start) % interval.micros} microseconds"
 
 
 def bucket_count(window: TimeWindow, interval: Interval) -> int:
@@ -50,18 +56,18 @@ def bucket_count(window: TimeWindow, interval: Interval) -> int:
 
 
 def _filled(
-    rows: DataFrame, flags: Sequence[str], n_buckets: int
+    rows: DataFrame, flags: Sequence[str], n_buckets: int, start_of: Callable[[Column], Column]
 ) -> DataFrame:
-    """``(_bucket, one count per flag)`` with every bucket present.
+    """``(bucket, one count per flag)`` with every bucket present.
 
     The empty buckets join the rows as all-false ones before the only
     aggregation: one shuffle of partial counts, no join.
     """
     spine = rows.sparkSession.range(0, n_buckets, 1, 1 + n_buckets // 1_000_000).select(
-        F.col("id").alias("_bucket"), *(F.lit(False).alias(f) for f in flags)
+        start_of(F.col("id")).alias("bucket"), *(F.lit(False).alias(f) for f in flags)
     )
     counts = [F.count_if(f).alias(f) for f in flags]
-    return rows.unionByName(spine).groupBy("_bucket").agg(*counts)
+    return rows.unionByName(spine).groupBy("bucket").agg(*counts)
 
 
 def _series_rows(queries: Sequence[Query]) -> Column:
@@ -83,16 +89,14 @@ def histogram(
     """
     interval = interval or auto_interval(window.length, bars)
     named = list(queries) if queries else [Query("all", match_all())]
-    number, n_buckets = bucket_number(F.col(time), window.start, interval), bucket_count(
-        window, interval)
+    n_buckets = bucket_count(window, interval)
     flags = [f"_{i}" for i in range(len(named))]
+    start_of = partial(bucket_start, start=window.start, interval=interval)
     rows = keep(df, where).where(window.covers(F.col(time))).select(
-        number.alias("_bucket"),
+        bucket_of(F.col(time), window.start, interval).alias("bucket"),
         *(F.coalesce(q.predicate, F.lit(False)).alias(f) for q, f in zip(named, flags)),
-    ).where(F.col("_bucket") < n_buckets)
-    filled = _filled(rows, flags, n_buckets)
-    begun = bucket_start(F.col("_bucket"), window.start, interval)
-    return filled.select(begun.alias("bucket"), *flags).select(_series_rows(named))
+    ).where(F.col("bucket") < start_of(F.lit(n_buckets)))
+    return _filled(rows, flags, n_buckets, start_of).select(_series_rows(named))
 
 
 def range_histogram(
@@ -105,13 +109,15 @@ def range_histogram(
     n_buckets = ceil(Decimal(high + 1 - low) / Decimal(gap))
     value = F.col(field)
     number = F.floor((value - F.lit(low)) / F.lit(gap)).cast("bigint")
+
+    def start_of(number: Column) -> Column:
+        return F.lit(low) + number * F.lit(gap)
+
     rows = keep(df, where).where((value >= low) & (value < low + n_buckets * gap)).select(
-        number.alias("_bucket"),
+        start_of(number).alias("bucket"),
         *(F.coalesce(q.predicate, F.lit(False)).alias(f) for q, f in zip(named, flags)),
     )
-    filled = _filled(rows, flags, n_buckets)
-    begun = F.lit(low) + F.col("_bucket") * gap
-    return filled.select(begun.alias("bucket"), *flags).select(_series_rows(named))
+    return _filled(rows, flags, n_buckets, start_of).select(_series_rows(named))
 
 
 def trend(
@@ -152,7 +158,7 @@ def raw_series(
 ) -> DataFrame:
     """The first ``max_rows`` values in time order, ties by key."""
     rows = keep(df, where).select(time, *key, field)
-    return first_rows(rows, _hour(time), [F.col(time), *(F.col(k) for k in key)], max_rows)
+    return first_rows(rows, hour_number(F.col(time)), [F.col(time), *(F.col(k) for k in key)], max_rows)
 
 
 def raw_series_by_group(
@@ -162,11 +168,7 @@ def raw_series_by_group(
     """The first ``max_rows`` values of every group in time order, ties by key."""
     rows = keep(df, where).select(group, time, *key, field)
     order = [F.col(time), *(F.col(k) for k in key)]
-    return top_per_group(rows, [group], order, max_rows, slice_by=_hour(time))
-
-
-def _hour(time: str) -> Column:
-    return floor_to(F.col(time), "HOUR")
+    return top_per_group(rows, [group], order, max_rows, slice_by=hour_number(F.col(time)))
 
 
 def scatter(

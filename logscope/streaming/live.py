@@ -18,6 +18,7 @@ from logscope.functions.numbers import percent_change
 from logscope.functions.times import day_key, from_instant, ntz, to_instant
 from logscope.functions.windows import TimeWindow
 from logscope.operators.predicates import Query, keep
+from logscope.operators.series import anchor
 
 _EVENT_TIME = "_event_time"
 
@@ -35,12 +36,6 @@ def with_event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
     return stream.withColumn(_EVENT_TIME, to_instant(F.col(time))).withWatermark(_EVENT_TIME, late)
 
 
-def _offset(window: TimeWindow, width: timedelta) -> str:
-    # Windows are counted from 1970; the remainder moves them to the window's start.
-    since = (window.start - type(window.start)(1970, 1, 1)) % width
-    return f"{since // timedelta(microseconds=1)} microseconds"
-
-
 def live_histogram(
     stream: DataFrame, time: str, window: TimeWindow, interval: Interval,
     queries: Sequence[Query], late: str = "1 hour", where: Column | None = None,
@@ -54,7 +49,7 @@ def live_histogram(
     open_rows = keep(stream, where).where(F.col(time) >= ntz(window.start))
     timed = with_event_time(open_rows, time, late)
     bucket = F.window(
-        _EVENT_TIME, f"{interval.seconds} seconds", startTime=_offset(window, interval.delta)
+        _EVENT_TIME, f"{interval.seconds} seconds", startTime=anchor(window.start, interval)
     )
     counts = timed.groupBy(bucket.alias("_window")).agg(
         *(F.count_if(q.predicate).alias(f"_{i}") for i, q in enumerate(queries))

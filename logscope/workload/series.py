@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from logscope.functions.intervals import Interval
-from logscope.functions.times import floor_to
+from logscope.functions.times import floor_to, hour_number
 from logscope.functions.windows import TimeWindow
 from logscope.operators import series
 from logscope.operators.facets import hits
@@ -262,5 +262,5 @@ SELECT event_id, event_type, ts,
 """)
 def series_rank_in_group(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "event_type", "ts")
-    hour = floor_to(F.col("ts"), "HOUR")
-    return rank_in_group(rows, "event_type", hour, [F.col("ts"), F.col("event_id")])
+    return rank_in_group(rows, "event_type", hour_number(F.col("ts")),
+                         [F.col("ts"), F.col("event_id")])
