@@ -37,6 +37,9 @@ MONTH_LIMIT_MS, MONTH_MS, YEAR_MS = 3628800000, 2592000000, 31536000000
 # From so many seconds a bucket, label times so.
 TIME_PATTERNS = ((2628000, "MM/yy"), (86400, "MM/dd/yy"), (60, "HH:mm<br>MM/dd"), (0, "HH:mm:ss"))
 
+# Fixed value: the text of a duration of nothing, in its customary spelling.
+NO_DURATION = "less then a second"
+
 # Where each part stands in the text of a timestamp.
 _TEXT_PARTS = {"yy": 3, "MM": 6, "dd": 9, "HH": 12, "mm": 15, "ss": 18}
 
@@ -128,9 +131,7 @@ def duration_text(seconds: Column) -> Column:
     rest_text = F.when(rest == F.floor(rest), F.floor(rest).cast("string")).otherwise(
         rest.cast("double").cast("string")
     )
-    text = F.when(rest > 0, F.concat(rest_text, F.lit("s"))).otherwise(
-        F.lit("less then a second")
-    )
+    text = F.when(rest > 0, F.concat(rest_text, F.lit("s"))).otherwise(F.lit(NO_DURATION))
     for unit in "mhdy":
         size = UNIT_SECONDS[unit]
         text = F.when(

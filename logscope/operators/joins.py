@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logscope.operators.facets import terms
 from logscope.operators.predicates import keep
+from logscope.operators.ranking import small
 
 
 def look_up(hits: DataFrame, records: DataFrame, key: str, stubs: bool = True) -> DataFrame:
@@ -27,9 +28,8 @@ def look_up(hits: DataFrame, records: DataFrame, key: str, stubs: bool = True) -
 
 
 def _top(df: DataFrame, field: str, size: int, exclude: Sequence, where: Column | None) -> DataFrame:
-    return F.broadcast(terms(df, field, size, exclude=exclude, where=where).select(
-        F.col("value").alias(field)
-    ))
+    top = terms(df, field, size, exclude=exclude, where=where)
+    return small(top.select(F.col("value").alias(field)), size)
 
 
 def rows_of_top_terms(

@@ -67,6 +67,14 @@ def any_field_word(fields: Sequence[str], text: str, stop_words: Sequence[str] =
     return all_of(*every)
 
 
+def any_value_word(field: str, text: str, stop_words: Sequence[str] = ()) -> Column:
+    """Every query word occurs in at least one value of a list field (the catch-all field)."""
+    def held(word: str) -> Column:
+        return F.exists(F.col(field), lambda value: _has_phrase(F.lower(value), [word], stop_words))
+
+    return all_of(*(held(word) for word in query_words(text, stop_words)))
+
+
 def words_or_synonyms(
     field: str, text: str, synonyms: Mapping[str, Sequence[str]], stop_words: Sequence[str] = ()
 ) -> Column:

@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _MAP_SIDE_LIMIT = 1000
 
 
+# Rows a limit may promise for its result to be broadcast without asking for its size.
+_BROADCAST_ROWS = 100_000
+
+
+def small(limited: DataFrame, limit: int) -> DataFrame:
+    """A result of at most ``limit`` rows, marked for broadcast if that is few."""
+    return F.broadcast(limited) if limit <= _BROADCAST_ROWS else limited
+
+
 def _last_slice_needed(n: int) -> Column:
     """Over ``(_slice, count)`` rows: the slice in which the running count reaches ``n``."""
     in_order = F.array_sort(F.collect_list(F.struct("_slice", "count")))

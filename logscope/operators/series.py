@@ -256,8 +256,9 @@ def require_times(points: DataFrame, names: Sequence[str], series: str = "series
 
 def pad_edges(points: DataFrame, window: TimeWindow, series: str = "series",
               value: str = "count") -> DataFrame:
-    """Null points at the window's ends where a series does not reach them."""
-    at, start, end = F.col("bucket"), ntz(window.start), ntz(window.end)
+    """Null points at the window's ends, in whole seconds, where a series does not reach them."""
+    at = F.col("bucket")
+    start, end = (ntz(edge.replace(microsecond=0)) for edge in (window.start, window.end))
     nothing = F.lit(None).cast(points.schema[value].dataType)
     first, last = F.col("_before").isNull(), F.col("_after").isNull()
     rows = F.array(

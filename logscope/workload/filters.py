@@ -83,6 +83,16 @@ def filter_any_field_word(t: Tables) -> DataFrame:
     return t.conversations.where(p.any_field_word(["text", "role"], "user")).select("conv_id", "turn")
 
 
+@query("PRD-5", rf"""
+SELECT doc_id FROM documents
+WHERE (list_contains({_WORDS}, 'the') OR 'the' IN (lang, source))
+  AND (list_contains({_WORDS}, 'en') OR 'en' IN (lang, source))
+""")
+def filter_catch_all_list(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.array("text", "lang", "source").alias("values"))
+    return rows.where(p.any_value_word("values", "the EN")).select("doc_id")
+
+
 @query("PRD-6", rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents)
 SELECT doc_id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'of')

@@ -83,6 +83,12 @@ def test_word_list(texts):
 def test_lists(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, []), (4, None)], "id int, v array<string>")
     assert ids(df, p.has_all_values("v", ["b", "a"])) == [1]
+    lines = spark.createDataFrame(
+        [(1, ["Red fox", "blue"]), (2, ["redfox", "blue"]), (3, [None, "red"]), (4, None)],
+        "id int, v array<string>")
+    assert ids(lines, p.any_value_word("v", "BLUE red")) == [1]
+    assert ids(lines, p.any_value_word("v", "red")) == [1, 3]
+    assert ids(lines, p.any_value_word("v", "")) == [1, 2, 3, 4]
 
 
 def test_geo_box(spark):
