@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logscope.functions.numbers import percent_of, rescale
 from logscope.functions.text import distinct_words
-from logscope.operators.predicates import Query, excludes, keep
+from logscope.operators.predicates import Query, any_query, excludes, flags, keep
 from logscope.operators.ranking import top_per_group
 
 Order = Literal["descending", "ascending"]
@@ -22,9 +22,12 @@ def total(df: DataFrame, where: Column | None = None, name: str = "hits") -> Dat
 
 
 def hits(df: DataFrame, queries: Sequence[Query], where: Column | None = None) -> DataFrame:
-    """``(query, hits, total)`` for all queries in one scan."""
-    counts = [F.count_if(q.predicate).alias(f"_{i}") for i, q in enumerate(queries)]
-    wide = keep(df, where).agg(*counts)
+    """``(query, hits, total)`` for all queries in one scan.
+
+    Rows that no query matches are dropped first, by the scan where it can.
+    """
+    counts = [F.count_if(flag).alias(f"_{i}") for i, flag in enumerate(flags(queries))]
+    wide = keep(df, where).where(any_query(queries)).agg(*counts)
     rows = F.array(
         *(F.struct(F.lit(q.name).alias("query"), F.col(f"_{i}").alias("hits"))
           for i, q in enumerate(queries))

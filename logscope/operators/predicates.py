@@ -167,6 +167,13 @@ def any_query(queries: Sequence[Query]) -> Column:
     return any_of(*(q.predicate for q in queries)) if queries else match_all()
 
 
+def flags(queries: Sequence[Query]) -> list[Column]:
+    """Per query, whether a row matches it, among rows that :func:`any_query` let pass."""
+    if len(queries) == 1:
+        return [F.lit(True)]
+    return [F.coalesce(q.predicate, F.lit(False)) for q in queries]
+
+
 @dataclass(frozen=True)
 class Filter:
     """A predicate with its mandate; inactive filters do nothing."""

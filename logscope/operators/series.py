@@ -14,7 +14,7 @@ from logscope.functions.intervals import Interval, auto_interval
 from logscope.functions.numbers import percent_change, to_number
 from logscope.functions.times import hour_number, literal_micros, ntz
 from logscope.functions.windows import TimeWindow
-from logscope.operators.predicates import Query, keep, match_all
+from logscope.operators.predicates import Query, any_query, flags, keep, match_all
 from logscope.operators.ranking import first_rows, top_per_group
 
 
@@ -56,17 +56,18 @@ def bucket_count(window: TimeWindow, interval: Interval) -> int:
 
 
 def _filled(
-    rows: DataFrame, flags: Sequence[str], n_buckets: int, start_of: Callable[[Column], Column]
+    rows: DataFrame, n_buckets: int, start_of: Callable[[Column], Column]
 ) -> DataFrame:
     """``(bucket, one count per flag)`` with every bucket present.
 
     The empty buckets join the rows as all-false ones before the only
     aggregation: one shuffle of partial counts, no join.
     """
+    names = rows.columns[1:]
     spine = rows.sparkSession.range(0, n_buckets, 1, 1 + n_buckets // 1_000_000).select(
-        start_of(F.col("id")).alias("bucket"), *(F.lit(False).alias(f) for f in flags)
+        start_of(F.col("id")).alias("bucket"), *(F.lit(False).alias(f) for f in names)
     )
-    counts = [F.count_if(f).alias(f) for f in flags]
+    counts = [F.count_if(f).alias(f) for f in names]
     return rows.unionByName(spine).groupBy("bucket").agg(*counts)
 
 
@@ -90,13 +91,13 @@ def histogram(
     interval = interval or auto_interval(window.length, bars)
     named = list(queries) if queries else [Query("all", match_all())]
     n_buckets = bucket_count(window, interval)
-    flags = [f"_{i}" for i in range(len(named))]
     start_of = partial(bucket_start, start=window.start, interval=interval)
-    rows = keep(df, where).where(window.covers(F.col(time))).select(
+    inside = keep(df, where).where(window.covers(F.col(time)) & any_query(named))
+    rows = inside.select(
         bucket_of(F.col(time), window.start, interval).alias("bucket"),
-        *(F.coalesce(q.predicate, F.lit(False)).alias(f) for q, f in zip(named, flags)),
+        *(flag.alias(f"_{i}") for i, flag in enumerate(flags(named))),
     ).where(F.col("bucket") < start_of(F.lit(n_buckets)))
-    return _filled(rows, flags, n_buckets, start_of).select(_series_rows(named))
+    return _filled(rows, n_buckets, start_of).select(_series_rows(named))
 
 
 def range_histogram(
@@ -105,7 +106,6 @@ def range_histogram(
 ) -> DataFrame:
     """``(series, bucket, count)`` over a numeric field; the range ends at ``high + 1``."""
     named = list(queries) if queries else [Query("all", match_all())]
-    flags = [f"_{i}" for i in range(len(named))]
     n_buckets = ceil(Decimal(high + 1 - low) / Decimal(gap))
     value = F.col(field)
     number = F.floor((value - F.lit(low)) / F.lit(gap)).cast("bigint")
@@ -113,11 +113,12 @@ def range_histogram(
     def start_of(number: Column) -> Column:
         return F.lit(low) + number * F.lit(gap)
 
-    rows = keep(df, where).where((value >= low) & (value < low + n_buckets * gap)).select(
+    inside = (value >= low) & (value < low + n_buckets * gap)
+    rows = keep(df, where).where(inside & any_query(named)).select(
         start_of(number).alias("bucket"),
-        *(F.coalesce(q.predicate, F.lit(False)).alias(f) for q, f in zip(named, flags)),
+        *(flag.alias(f"_{i}") for i, flag in enumerate(flags(named))),
     )
-    return _filled(rows, flags, n_buckets, start_of).select(_series_rows(named))
+    return _filled(rows, n_buckets, start_of).select(_series_rows(named))
 
 
 def trend(
@@ -131,10 +132,10 @@ def trend(
     now, then = window, window.earlier(ago)
     in_now, in_then = now.covers_half_open(F.col(time)), then.covers_half_open(F.col(time))
     counts = []
-    for i, q in enumerate(queries):
-        counts += [F.count_if(q.predicate & in_now).alias(f"_now{i}"),
-                   F.count_if(q.predicate & in_then).alias(f"_then{i}")]
-    wide = keep(df, where).where(in_now | in_then).agg(*counts)
+    for i, flag in enumerate(flags(queries)):
+        counts += [F.count_if(flag & in_now).alias(f"_now{i}"),
+                   F.count_if(flag & in_then).alias(f"_then{i}")]
+    wide = keep(df, where).where((in_now | in_then) & any_query(queries)).agg(*counts)
     return wide.select(F.inline(F.array(*(
         F.struct(
             F.lit(q.name).alias("query"), F.col(f"_now{i}").alias("now"),

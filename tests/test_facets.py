@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, types as T
 import plans
 from logscope.functions import nested
 from logscope.operators import facets, geo, joins, pivots, sets
+from logscope.operators.predicates import Query
 from logscope.sources import records, tables
 
 
@@ -172,3 +173,11 @@ def test_field_catalogue_with_distinct_values(kinds):
     got = {r["field"]: tuple(r)[1:] for r in tables.field_catalogue(kinds, approximate_distinct=True).collect()}
     assert got["kind"] == ("string", 13, 4)
     assert got["id"][:2] == ("int", 17)
+
+
+def test_hits_of_one_query_and_of_none_matching(kinds):
+    one = [Query("a", F.col("kind") == "a")]
+    assert listed(facets.hits(kinds, one)) == [("a", 3, 3)]
+    several = [*one, Query("never", F.lit(None).cast("boolean")), Query("wide", F.col("v") >= 4)]
+    assert listed(facets.hits(kinds, several)) == [("a", 3, 16), ("never", 0, 16), ("wide", 13, 16)]
+    assert listed(facets.hits(kinds.where("false"), several))[0] == ("a", 0, 0)
