@@ -253,7 +253,9 @@ def derived_queries(
         F.count(F.lit(1)).alias("_n"), F.count_if(matches).alias("_q")
     )
     able = F.col("value").isNotNull() & (F.col("_q") > 0) & excludes("value", exclude)
-    top = _top_of_shared(groups, able, [F.col("_q").desc(), F.col("value").asc()], size)
+    # Values differ, so the last field decides nothing; it makes every use need both counts.
+    order = [F.col("_q").desc(), F.col("value").asc(), F.col("_n").asc()]
+    top = _top_of_shared(groups, able, order, size)
     whole = groups.agg(F.sum("_n").alias("_n"), F.sum("_q").alias("_q"))
     if query is None or mode == "terms only":
         own, rest_hits = F.col("_n"), (

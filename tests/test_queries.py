@@ -51,3 +51,14 @@ def test_entry(spark):
     result = compare.contract.entry(spark)
     assert result.columns == ["series", "bucket", "count"]
     assert result.count() == 14
+
+
+@pytest.mark.parametrize("name", [
+    "facet_terms_with_rest", "facet_terms_tokenised", "facet_tag_cloud", "facet_several",
+    "pivot_facet", "pivot_matrix", "pivot_column_sums", "pivot_intensity", "pivot_ordered_rows",
+    "derived_terms", "derived_terms_and", "derived_terms_or", "hits_per_query",
+    "series_per_query", "series_trend", "series_fill_minimal", "series_fill_all",
+    "series_required_times", "series_pad_edges", "table_field_presence", "facet_percent",
+])
+def test_one_scan(spark, name):
+    assert plans.scans(compare.contract.queries()[name](spark, SMALL)) == 1
