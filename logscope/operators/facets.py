@@ -256,22 +256,20 @@ def derived_queries(
     # Values differ, so the last field decides nothing; it makes every use need both counts.
     order = [F.col("_q").desc(), F.col("value").asc(), F.col("_n").asc()]
     top = _top_of_shared(groups, able, order, size)
-    whole = groups.agg(F.sum("_n").alias("_n"), F.sum("_q").alias("_q"))
+    sums = groups.agg(F.struct(F.sum("_n").alias("_n"), F.sum("_q").alias("_q"))).scalar()
     if query is None or mode == "terms only":
-        own, rest_hits = F.col("_n"), (
-            F.col("_n") - top.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar())
+        own, taken, every = F.col("_n"), F.col("_n"), sums["_n"]
     elif mode == "AND":
-        own, rest_hits = F.col("_q"), (
-            F.col("_n") - top.agg(F.coalesce(F.sum("_q"), F.lit(0))).scalar())
+        own, taken, every = F.col("_q"), F.col("_q"), sums["_n"]
     else:
-        sums = whole.select(F.struct("_n", "_q")).scalar()
         own = F.col("_n") + sums["_q"] - F.col("_q")
-        rest_hits = F.col("_n") - F.col("_q") - (
-            top.agg(F.coalesce(F.sum(F.col("_n") - F.col("_q")), F.lit(0))).scalar())
+        taken, every = F.col("_n") - F.col("_q"), sums["_n"] - sums["_q"]
     named = top.select(F.col("value").cast("string").alias("query"), own.alias("hits"))
     if not rest:
         return named
-    return named.unionByName(whole.select(F.lit("other").alias("query"), rest_hits.alias("hits")))
+    left = F.coalesce(every, F.lit(0)) - top.agg(F.coalesce(F.sum(taken), F.lit(0))).scalar()
+    other = df.sparkSession.range(0, 1, 1, 1).select(F.lit("other").alias("query"), left.alias("hits"))
+    return named.unionByName(other)
 
 
 def extents(df: DataFrame, fields: Sequence[str], where: Column | None = None) -> DataFrame:
