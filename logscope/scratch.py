@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="logscope-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; a local one only for a local session."""
+    """The folder ``spark.checkpoint.dir`` names, or the session's warehouse where it is unset.
+
+    Both are shared by the driver and all executors; a machine-local folder never is.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_root()
+    return (shared or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/logscope/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it goes when the driver's JVM ends."""
+    path = f"{scratch_root(spark)}/logscope/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
