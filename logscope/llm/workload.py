@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from logscope.llm import quality
+from logscope.llm import lines, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": (quality.op1, None),
+    "op2_secret_scans": (secrets.op2, None),
+    "op6_url_filters": (urls.op6, None),
+    "op7_line_dedup": (lines.op7, lines.OP7_SQL),
 }
