@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscope.scratch import scratch_path
@@ -33,3 +36,14 @@ def words(text: Column) -> Column:
     bare = F.btrim(text, F.lit(SPACES))
     none = F.array().cast("array<string>")
     return F.when(F.coalesce(bare, F.lit("")) == "", none).otherwise(F.split(bare, f"{SPACE}+"))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    A cluster that ships the package (``--py-files``) does not need it.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
