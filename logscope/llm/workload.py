@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logscope.llm import byte_bpe, lines, neighbours, packing, quality, secrets, urls
+from logscope.llm import byte_bpe, lines, neighbours, packing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": (quality.op1, None),
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_byte_bpe": (byte_bpe.op4, None),
     "op6_url_filters": (urls.op6, None),
     "op7_line_dedup": (lines.op7, lines.OP7_SQL),
+    "op8_toxicity": (toxicity.op8, None),
     "op9_nearest_neighbours": (neighbours.op9, neighbours.OP9_SQL),
 }
