@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logscope.llm import byte_bpe, lines, neighbours, packing, quality, secrets, toxicity, urls
+from logscope.llm import byte_bpe, lines, minhash, neighbours, packing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": (quality.op1, None),
@@ -13,4 +13,5 @@ QUERIES = {
     "op7_line_dedup": (lines.op7, lines.OP7_SQL),
     "op8_toxicity": (toxicity.op8, None),
     "op9_nearest_neighbours": (neighbours.op9, neighbours.OP9_SQL),
+    "op10_minhash_near_dedup": (minhash.op10, None),
 }
