@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logscope.llm import byte_bpe, lines, minhash, neighbours, packing, quality, secrets, toxicity, urls
+from logscope.llm import byte_bpe, lines, minhash, neighbours, packing, quality, repeats, secrets, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": (quality.op1, None),
     "op2_secret_scans": (secrets.op2, None),
     "op3_mixture_packing": (packing.op3, None),
     "op4_byte_bpe": (byte_bpe.op4, None),
+    "op5_repeated_substrings": (repeats.op5, None),
     "op6_url_filters": (urls.op6, None),
     "op7_line_dedup": (lines.op7, lines.OP7_SQL),
     "op8_toxicity": (toxicity.op8, None),
