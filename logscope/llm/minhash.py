@@ -271,3 +271,21 @@ def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, size=2).select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """``docs`` without all but one document of each group of near duplicates.
+
+    The document with the least id stays. Of rows that repeat an id and a text one stays;
+    an id goes only if none of its rows stays. Null ids stay.
+    """
+    found = written(near_duplicates(docs, size, percent, key, text), "near-duplicates")
+    gone = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("gone_key")).agg(
+        F.max((F.col(key) == F.col("component_id")).cast("int")).alias("stays"),
+        F.count(F.lit(1)).alias("rows"))
+    kept = docs.join(gone.where("stays = 0"), docs[key] == F.col("gone_key"), "left_anti")
+    if gone.where("rows > 1").isEmpty():
+        return kept
+    named, unnamed = kept.where(F.col(key).isNotNull()), kept.where(F.col(key).isNull())
+    return named.dropDuplicates([key, text]).unionByName(unnamed)

@@ -162,3 +162,19 @@ def op2(spark, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(named(F.filter(found, lambda x: x["rule"].isin(base)), RULES), 256)
         .alias("base_sha256"), named(found, RULES).alias("spans"))
+
+
+def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every span replaced by ``mark``; overlapping spans become one mark."""
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state, x):
+        gap = F.substring(text, state["at"] + 1, x["start"] - state["at"])
+        return F.struct(
+            F.greatest(state["at"], x["end"]).alias("at"),
+            F.when(x["start"] >= state["at"], F.concat(
+                state["parts"], F.array(gap, F.lit(mark)))).otherwise(state["parts"]).alias("parts"))
+
+    done = F.aggregate(found, begun, step, lambda state: F.concat(F.array_join(state["parts"], ""),
+                       F.substring(text, state["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, done).otherwise(text)

@@ -288,31 +288,28 @@ def learnt(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                                  table["toxic"].to_numpy().astype(float)))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a further column ``score``."""
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``row`` (a struct of the input) and ``score``."""
     importable(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index(text)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(**{score: [model.score(b) for b in batch[text]]})
+            yield batch.assign(score=[model.score(b) for b in batch[body]])
 
-    if score in docs.columns:
-        raise ValueError(f"the input has a column {score}: name another")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{names}, `{score}` double")
+    types = ", ".join(f"{n} {f.dataType.simpleString()}"
+                      for n, f in zip(names, docs.schema, strict=True))
+    row = F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return docs.toDF(*names).mapInPandas(run, f"{types}, score double").select(
+        row.alias("row"), "score")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = learnt(docs, labels)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "score": [model.score(b) for b in batch["text"]]})
-
-    return docs.mapInPandas(run, "doc_id bigint, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+    key = F.col("row.doc_id")
+    return scored(docs, learnt(docs, labels)).select(
+        key.alias("doc_id"), held_out(key).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
