@@ -37,8 +37,8 @@ from logscope.llm.support import importable, written
 
 BANDS, ROWS = 42, 6
 #: Classes of a block: a task holds the sets of two blocks.
-BLOCK = 1024
-_CACHED = 500_000
+BLOCK = 512
+_CACHED = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,21 +52,18 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: str | None, size: int, known: _WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct shingles."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     count = max(1, len(words) - size + 1)
     total = np.full(count, min(size, len(words)), np.uint64)
     for i in range(min(size, len(words))):
@@ -113,11 +110,11 @@ def signed(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer()
+        signer, known = Signer(), _WordHashes()
         for batch in batches:
             sizes, marks, buckets = [], [], []
             for body in batch["text"]:
-                own = shingles(body, size)
+                own = shingles(body, size, known)
                 sizes.append(len(own))
                 marks.append(_digest(own.tobytes()))
                 buckets.append(signer.buckets(own) if len(own) else np.empty(0, np.int64))
@@ -142,8 +139,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) ->
     """``(class, shingles)`` of the classes ``(class, first_doc)``, from their first documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
         for batch in batches:
-            own = [shingles(t, size).tobytes() for t in batch["text"]]
+            own = [shingles(t, size, known).tobytes() for t in batch["text"]]
             # Where rows share an id, only those of the class itself count.
             ok = [_digest(x) == mark for x, mark in zip(own, batch["class"], strict=True)]
             yield pd.DataFrame({"class": batch["class"], "shingles": own}).loc[ok]
