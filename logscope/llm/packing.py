@@ -53,6 +53,7 @@ def tokenised(docs: DataFrame, path: str, key: str, text: str, source: str) -> D
                 seen[name] = before[-1] + n
             yield pd.DataFrame({"key": batch["key"], "source": batch["source"], "part": part,
                                 "before": before, "n": sizes, "ids": ids})
+        tokens.clear()
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"),
                        F.coalesce(docs[source].cast("string"), F.lit(_NO_SOURCE)).alias("source"))

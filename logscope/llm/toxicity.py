@@ -41,7 +41,7 @@ REPORTING = frozenset(
 REACH = 60
 _OPEN = re.compile("[\"“«„][^\"”»]*$")
 _CLOSE = re.compile("^[^\"“«]*[\"”»]")
-_REMEMBERED = 1_000_000
+_REMEMBERED = 200_000
 
 
 @dataclass

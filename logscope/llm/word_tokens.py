@@ -30,7 +30,7 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]"
 #: Beyond the plain letters, and marks whose treatment as space differs between libraries.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017f]")
 _END = b"\xff"
-CACHED = 400_000
+CACHED = 250_000
 
 
 def _byte_of() -> dict[str, int]:
