@@ -48,7 +48,7 @@ _INTERVAL = re.compile(r"(\d+)(?:\.\d+)?([Mwdhmsy])")
 
 @dataclass(frozen=True)
 class Interval:
-    """A count of one unit. Months and years follow the calendar."""
+    """A count of one unit. Months and years follow the calendar; ``ms`` is no text's unit."""
 
     count: int
     unit: str
@@ -61,16 +61,18 @@ class Interval:
         return cls(int(match[1]), match[2])
 
     @property
-    def seconds(self) -> int:
-        return self.count * UNIT_SECONDS[self.unit]
+    def micros(self) -> int:
+        return self.count * (1000 if self.unit == "ms" else UNIT_SECONDS[self.unit] * 1_000_000)
 
     @property
-    def micros(self) -> int:
-        return self.seconds * 1_000_000
+    def seconds(self) -> int | float:
+        """Seconds, a fraction for some intervals of milliseconds."""
+        whole, rest = divmod(self.micros, 1_000_000)
+        return self.micros / 1_000_000 if rest else whole
 
     @property
     def delta(self) -> timedelta:
-        return timedelta(seconds=self.seconds)
+        return timedelta(microseconds=self.micros)
 
     @property
     def months(self) -> int:
@@ -81,12 +83,14 @@ class Interval:
         """``ts`` moved by whole intervals; months and years by the calendar."""
         if self.months:
             return F.timestamp_add("MONTH", F.lit(self.months * times), ts)
-        return F.timestamp_add("SECOND", F.lit(self.seconds * times), ts)
+        return F.timestamp_add("MICROSECOND", F.lit(self.micros * times), ts)
 
     def sql(self) -> str:
         """The step as a Spark interval literal."""
         if self.months:
             return f"INTERVAL {self.months} MONTH"
+        if self.unit == "ms":
+            return f"INTERVAL {self.count} MILLISECOND"
         return f"INTERVAL {self.seconds} SECOND"
 
 
@@ -116,7 +120,7 @@ def auto_interval(span: timedelta, bars: int = 100) -> Interval:
     if width is None:
         width = MONTH_MS if raw < MONTH_LIMIT_MS else YEAR_MS
     if width < 1000:
-        raise ValueError("the automatic width is below one second; give the interval")
+        return Interval(width, "ms")
     seconds = width // 1000
     for unit in "ydhms":
         whole = seconds // UNIT_SECONDS[unit]

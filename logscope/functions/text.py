@@ -60,7 +60,9 @@ def expand_synonyms(word: str, synonyms: Mapping[str, Sequence[str]]) -> list[st
 def highlight(
     text: Column, terms: Sequence[str], before: str = "<em>", after: str = "</em>"
 ) -> Column:
-    """Wrap each whole-word match, whatever its case."""
+    """Wrap each whole-word match, whatever its case; without terms the text as it is."""
+    if not any(terms):
+        return text
     choices = "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
     pattern = f"(?i){_NO_WORD_BEFORE}({choices}){_NO_WORD_AFTER}"
     return F.regexp_replace(text, pattern, f"{before}$1{after}")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logscope.operators.paging import Sort, sorted_rows
 
-# Rows per file and rows per export.
+# Rows per file, and the usual ceiling of an export.
 ROWS_PER_FILE = 20_000
 MAX_EXPORT_ROWS = 200_000
 
@@ -18,20 +18,26 @@ class TooManyRows(ValueError):
     """The export is larger than its ceiling."""
 
 
-def check_ceiling(df: DataFrame, ceiling: int | None = MAX_EXPORT_ROWS) -> None:
-    """Raise if ``df`` has more rows than ``ceiling``."""
-    if ceiling is None:
-        return
-    # Read partition by partition until the row past the ceiling turns up or all are read.
-    if df.select(F.lit(1).alias("one")).offset(ceiling).take(1):
-        raise TooManyRows(f"the export has more than {ceiling} rows; narrow the query")
+def over_ceiling(df: DataFrame, ceiling: int) -> DataFrame:
+    """``(refused)``, one row: whether ``df`` has more rows than ``ceiling``.
+
+    No task counts on past the ceiling, and only counts leave the tasks.
+    """
+    some = df.select(F.lit(1).alias("one")).limit(ceiling + 1)
+    return some.agg((F.count("one") > ceiling).alias("refused"))
+
+
+def check_ceiling(df: DataFrame, ceiling: int | None) -> None:
+    """Raise if ``df`` has more rows than ``ceiling``; ``None`` allows any number."""
+    if ceiling is not None and over_ceiling(df, ceiling).first()["refused"]:
+        raise TooManyRows(f"the result has more than {ceiling} rows; narrow the query")
 
 
 def export(
     df: DataFrame, path: str, kind: Literal["json", "csv", "xml"],
     columns: Sequence[str] | None = None, sort: Sort | None = None, key: Sequence[str] = (),
     time: str = "ts", header: bool = False, rows_per_file: int = ROWS_PER_FILE,
-    ceiling: int | None = MAX_EXPORT_ROWS, mode: str = "errorifexists",
+    ceiling: int | None = None, mode: str = "errorifexists",
 ) -> None:
     """Write rows as files of at most ``rows_per_file`` rows.
 

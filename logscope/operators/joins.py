@@ -8,28 +8,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logscope.operators.facets import terms
 from logscope.operators.predicates import keep
-from logscope.operators.ranking import small
 
 
 def look_up(hits: DataFrame, records: DataFrame, key: str, stubs: bool = True) -> DataFrame:
     """Full records of the hit keys. ``stubs`` keeps a key without a record, fields null.
 
-    The hits are few and the records many, so this is an inner join: it may
-    broadcast the hits if their size allows, and otherwise adaptive execution can
-    split a hot key of either side. A left join could do neither for the records.
-    The stubs then come from the hits and the keys found, which are no more than the hits.
+    One join, so each table is read once. Adaptive execution splits a hot key of the
+    hits; without stubs also one of the records, which as a rule hold a key once.
     """
-    matched = hits.join(records, key)
-    if not stubs:
-        return matched
-    found = matched.select(key).distinct()
-    lonely = hits.join(found, key, "left_anti")
-    return matched.unionByName(lonely, allowMissingColumns=True)
+    return hits.join(records, key, "left" if stubs else "inner")
 
 
 def _top(df: DataFrame, field: str, size: int, exclude: Sequence, where: Column | None) -> DataFrame:
     top = terms(df, field, size, exclude=exclude, where=where)
-    return small(top.select(F.col("value").alias(field)), size)
+    return top.select(F.col("value").alias(field))
 
 
 def rows_of_top_terms(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logscope.functions.numbers import rescale
 from logscope.operators.predicates import keep
-from logscope.operators.ranking import small, top_per_group
+from logscope.operators.ranking import top_per_group
 
 
 def cell_counts(df: DataFrame, row: str, col: str, where: Column | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def pivot(
     cells = cell_counts(df, row, col, where)
     rows = _top(cells, "row", limit)
     candidates = _sums(cells, "col").orderBy("col").limit(2 * limit)
-    shown = cells.join(small(rows.select("row"), limit), "row")
+    shown = cells.join(rows.select("row"), "row")
     zeros = _with_zero_cells(rows, candidates)
     both = shown.unionByName(zeros).groupBy("row", "col").agg(F.sum("count").alias("count"))
     return top_per_group(both, ["row"], [F.col("count").desc(), F.col("col").asc()], limit)
@@ -62,9 +62,7 @@ def matrix(
     """Every cell of the most frequent rows and columns, zeros included."""
     cells = cell_counts(df, row, col, where)
     top_rows, top_cols = _top(cells, "row", rows), _top(cells, "col", cols)
-    shown = cells.join(small(top_rows.select("row"), rows), "row").join(
-        small(top_cols.select("col"), cols), "col"
-    )
+    shown = cells.join(top_rows.select("row"), "row").join(top_cols.select("col"), "col")
     zeros = _with_zero_cells(top_rows, top_cols)
     return shown.unionByName(zeros).groupBy("row", "col").agg(F.sum("count").alias("count"))
 

@@ -1,4 +1,4 @@
-"""Top rows per group and ranks, safe when one group holds most rows."""
+"""Top rows per group and ranks, safe when one group, or one moment, holds most rows."""
 
 from __future__ import annotations
 
@@ -6,27 +6,50 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this rank Spark cuts each group inside the map task, before the shuffle.
-_MAP_SIDE_LIMIT = 1000
+from logscope.scratch import scratch_path
 
 
-# Rows a limit may promise for its result to be broadcast without asking for its size.
-_BROADCAST_ROWS = 100_000
+def _cut_in_map_tasks(df: DataFrame, n: int) -> bool:
+    """Whether the session lets Spark cut groups at rank ``n`` before the shuffle."""
+    return n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
 
-def small(limited: DataFrame, limit: int) -> DataFrame:
-    """A result of at most ``limit`` rows, marked for broadcast if that is few."""
-    return F.broadcast(limited) if limit <= _BROADCAST_ROWS else limited
+def _last_slice_needed(counts: DataFrame, groups: Sequence[Column], n: int) -> DataFrame:
+    """From ``(_slice, count)`` rows the slice, by group, where the running count reaches ``n``."""
+    run = Window.partitionBy(*groups).orderBy("_slice")
+    before = F.coalesce(F.sum("count").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("_before", before).where(F.col("_before") < n)
 
 
-def _last_slice_needed(n: int) -> Column:
-    """Over ``(_slice, count)`` rows: the slice in which the running count reaches ``n``."""
-    in_order = F.array_sort(F.collect_list(F.struct("_slice", "count")))
-    nothing = F.struct(F.lit(0).cast("bigint").alias("run"), F.get(in_order, 0)["_slice"].alias("cut"))
-    return F.aggregate(in_order, nothing, lambda so_far, s: F.struct(
-        (so_far["run"] + s["count"]).alias("run"),
-        F.when(so_far["run"] < n, s["_slice"]).otherwise(so_far["cut"]).alias("cut"),
-    ))["cut"]
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], number: str) -> DataFrame:
+    """Number the rows of each group from 1 in a (total) order.
+
+    Rows are range-partitioned by group and order, so a hot group lies in many parts
+    even if all its rows share one moment. The parts are written, so both passes
+    below see the same ones: one numbers the rows inside a part, the other counts
+    the rows of a group in the parts before.
+    """
+    path = scratch_path(df.sparkSession, "ranked")
+    parts = df.repartitionByRange(*(F.col(g) for g in groups), *order)
+    parts.withColumn("_part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.schema(
+        df.withColumn("_part", F.spark_partition_id()).schema).parquet(path)
+    named = [F.col(g).alias(f"_of_{i}") for i, g in enumerate(groups)]
+    keys = [f"_of_{i}" for i in range(len(groups))] or [_one_group("count")]
+    counts = rows.groupBy(*named, "_part").count()
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys[:len(groups)], F.col("_part").alias("_of_part"),
+                           F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*groups, "_part").orderBy(*order)
+    local = rows.withColumn("_local", F.row_number().over(inside))
+    same = [local[g].eqNullSafe(starts[f"_of_{i}"]) for i, g in enumerate(groups)]
+    joined = local.join(starts, [*same, local["_part"] == starts["_of_part"]])
+    return joined.withColumn(number, F.col("_start") + F.col("_local")).select(*df.columns, number)
+
+
+def _one_group(count: str) -> Column:
+    """A partition key for all rows of a table of counts, which are never negative."""
+    return F.col(count) < 0
 
 
 def first_rows(df: DataFrame, slice_by: Column, order: Sequence[Column], n: int) -> DataFrame:
@@ -34,47 +57,47 @@ def first_rows(df: DataFrame, slice_by: Column, order: Sequence[Column], n: int)
 
     ``slice_by`` must not decrease along that order, such as the hour of the
     leading time. For a large ``n`` the rows are counted by slice first, and only
-    those of the slices that reach ``n`` are sorted.
+    those of the slices that reach ``n`` are sorted, each task a part of them.
     """
-    if n > _MAP_SIDE_LIMIT:
-        counts = df.groupBy(slice_by.alias("_slice")).count()
-        cut = counts.agg(_last_slice_needed(n)).scalar()
-        df = df.where(slice_by.isNull() | (slice_by <= cut))
-    return df.orderBy(*order).limit(n)
+    if _cut_in_map_tasks(df, n):
+        return df.orderBy(*order).limit(n)
+    counts = df.groupBy(slice_by.alias("_slice")).count()
+    cut = _last_slice_needed(counts, [_one_group("count")], n).agg(F.max("_slice")).scalar()
+    near = df.where(slice_by.isNull() | (slice_by <= cut))
+    return numbered(near, [], order, "_number").where(F.col("_number") <= n).drop(
+        "_number").orderBy(*order)
 
 
 def top_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None,
-    slice_by: Column | None = None, salts: int = 64,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each group in the given (total) order.
 
     A small ``n`` is cut in the map tasks. For a large one, ``slice_by`` (see
-    :func:`first_rows`) first drops the slices a group does not need; then salted
-    parts of each group are cut, so a hot group is ranked by many tasks and
-    at most ``salts * n`` of its rows meet in one.
+    :func:`first_rows`) first drops the slices a group does not need; what is left is
+    numbered in parts of even size, whatever the groups' sizes.
     """
     name = rank or "_rank"
-    if n > _MAP_SIDE_LIMIT:
+    if _cut_in_map_tasks(df, n):
+        whole = Window.partitionBy(*groups).orderBy(*order)
+        ranked = df.withColumn(name, F.row_number().over(whole))
+    else:
         if slice_by is not None:
             df = _needed_slices(df, groups, slice_by, n)
-        # A hash of the row, not a task-local number: a task that runs again salts alike.
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        local = Window.partitionBy(*groups, "_salt").orderBy(*order)
-        df = salted.withColumn("_local", F.row_number().over(local)).where(
-            F.col("_local") <= n
-        ).drop("_salt", "_local")
-    whole = Window.partitionBy(*groups).orderBy(*order)
-    ranked = df.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= n)
+        ranked = numbered(df, groups, order, name)
+    ranked = ranked.where(F.col(name) <= n)
     return ranked if rank else ranked.drop(name)
 
 
 def _needed_slices(df: DataFrame, groups: Sequence[str], slice_by: Column, n: int) -> DataFrame:
     sliced = df.withColumn("_slice", slice_by)
-    counts = sliced.groupBy(*groups, "_slice").count()
-    cuts = counts.groupBy(*(F.col(g).alias(f"_of_{g}") for g in groups)).agg(
-        _last_slice_needed(n).alias("_cut"))
-    same = [sliced[g].eqNullSafe(cuts[f"_of_{g}"]) for g in groups]
+    keys = [f"_of_{g}" for g in groups]
+    counts = sliced.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)),
+                            "_slice").count()
+    cuts = _last_slice_needed(counts, [F.col(k) for k in keys], n).groupBy(*keys).agg(
+        F.max("_slice").alias("_cut"))
+    same = [sliced[g].eqNullSafe(cuts[k]) for g, k in zip(groups, keys, strict=True)]
     early = F.col("_slice").isNull() | (F.col("_slice") <= F.col("_cut"))
     return sliced.join(cuts, [*same, early]).select(*df.columns)
 
@@ -84,27 +107,7 @@ def rank_in_group(
 ) -> DataFrame:
     """Number the rows of each group from 1 in a (total) order.
 
-    ``slice_by`` must not decrease along that order, such as the hour of the
-    leading time. Rows are sorted only within a (group, slice); each slice then
-    starts after the rows of the slices before it, so no task ever holds a
-    whole group.
+    ``slice_by`` must not decrease along that order. A group is spread over
+    as many tasks as its share of the rows asks for, also if one slice holds it all.
     """
-    sliced = df.withColumn("_slice", slice_by)
-    counts = sliced.groupBy(group, "_slice").count()
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = counts.select(
-        F.col(group).alias("_group"), F.col("_slice").alias("_slice_key"),
-        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"),
-    )
-    local = Window.partitionBy(group, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_local", F.row_number().over(local))
-    joined = numbered.join(
-        starts,
-        numbered[group].eqNullSafe(starts["_group"])
-        & numbered["_slice"].eqNullSafe(starts["_slice_key"]),
-    )
-    return joined.withColumn(rank, F.col("_start") + F.col("_local")).drop(
-        "_slice", "_slice_key", "_group", "_start", "_local"
-    )
+    return numbered(df, [group], [slice_by, *order], rank)

@@ -26,13 +26,13 @@ def bucket_start(number: Column, start: datetime, interval: Interval) -> Column:
     """
     if interval.months:
         return F.timestamp_add("MONTH", number * interval.months, ntz(start))
-    return F.timestamp_add("SECOND", number * interval.seconds, ntz(start))
+    return F.timestamp_add("MICROSECOND", number * interval.micros, ntz(start))
 
 
 def bucket_of(ts: Column, start: datetime, interval: Interval) -> Column:
     """Where the bucket a time falls into begins. One a select, as Spark's ``window`` demands."""
     if not interval.months:
-        return F.window(ts, f"{interval.seconds} seconds", startTime=anchor(start, interval))["start"]
+        return F.window(ts, f"{interval.micros} microseconds", startTime=anchor(start, interval))["start"]
     months = (F.year(ts) - start.year) * 12 + F.month(ts) - start.month
     begun = F.timestamp_add("MONTH", months, ntz(start)) <= ts
     number = F.floor((months - F.when(begun, 0).otherwise(1)) / F.lit(interval.months))

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logscope.functions.text import highlight, query_words, snippet
+from logscope.operators.export import check_ceiling
 from logscope.operators.facets import facets, total
 from logscope.operators.paging import Sort, page
 from logscope.operators.predicates import all_words, keep
@@ -31,21 +32,22 @@ def search(
     df: DataFrame, body: str, text: str, key: Sequence[str], facet_fields: Sequence[str],
     sort: Sort = (), time: str | None = None, number: int = 0, size: int = 10,
     facet_limit: int = 10, stop_words: Sequence[str] = (), snippet_length: int | None = None,
-    where: Column | None = None, cache: bool = False,
+    where: Column | None = None, cache: bool = False, ceiling: int | None = None,
 ) -> SearchPage:
     """Rows whose body holds every word of ``text``.
 
     Only the rows of the page are highlighted, after they are picked. With
-    ``cache`` the matching rows, reduced to the columns in use, are kept
-    (memory, then disk) for the three results.
+    ``cache`` the facet fields of the matching rows are kept (memory, then disk) for
+    total and facets; bodies never are. More matches than ``ceiling`` are refused.
     """
     found = keep(df, where).where(all_words(body, text, stop_words))
     fields = list(dict.fromkeys([*key, *(f for f, _ in sort), *facet_fields, body]))
-    base = found.select(*fields)
+    check_ceiling(found, ceiling)
+    base = found.select(*dict.fromkeys([*key, *facet_fields]))
     if cache:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    picked = page(base, sort, key, time or key[0], number, size, analysed=[body])
-    shown = highlight(F.col(body), query_words(text, stop_words) or [""])
+    picked = page(found.select(*fields), sort, key, time or key[0], number, size, analysed=[body])
+    shown = highlight(F.col(body), query_words(text, stop_words))
     rows = picked.withColumn("highlight", shown)
     if snippet_length is not None:
         rows = rows.withColumn("snippet", snippet(F.col(body), snippet_length))

@@ -18,9 +18,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; it goes when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/logscope/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = f"{scratch_root(spark)}/logscope/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(hadoop)
     files.deleteOnExit(hadoop)
-    return path
+    return f"{folder}/data"

@@ -27,7 +27,7 @@ def read_by_day(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def scan(
-    table: DataFrame, window: TimeWindow, time: str = "ts", max_span_days: int | None = 5,
+    table: DataFrame, window: TimeWindow, time: str = "ts", max_span_days: int | None = None,
     where: Column | None = None,
 ) -> DataFrame:
     """Rows of a window. The ``day`` bounds prune partitions, the time bounds row groups.
@@ -43,9 +43,13 @@ def scan(
     return rows
 
 
-def list_days(table: DataFrame, prefix: str = "tb_") -> DataFrame:
-    """``(table)``: the day tables there are."""
-    return table.select(F.concat(F.lit(prefix), F.col("day")).alias("table")).distinct()
+def list_days(spark: SparkSession, path: str, prefix: str = "tb_") -> DataFrame:
+    """``(table)``: the day tables there are, from the names of the folders alone."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path, "day=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    days = sorted(f.getPath().getName().removeprefix("day=") for f in found or [])
+    names = F.array(*(F.lit(prefix + d) for d in days)).cast("array<string>")
+    return spark.range(1).select(F.explode(names).alias("table"))
 
 
 def days_with_data(df: DataFrame, time: str, window: TimeWindow) -> DataFrame:
@@ -53,7 +57,7 @@ def days_with_data(df: DataFrame, time: str, window: TimeWindow) -> DataFrame:
     wanted = df.sparkSession.range(0, window.day_span + 1, 1, 1).select(
         F.date_add(F.to_date(ntz(window.start)), F.col("id").cast("int")).alias("day")
     )
-    found = df.where(window.covers(F.col(time))).select(F.to_date(time).alias("day"))
+    found = scan(df, window, time).select(F.to_date(time).alias("day"))
     return wanted.intersect(found)
 
 

@@ -215,6 +215,14 @@ def fn_thousands(t: Tables) -> DataFrame:
         numbers.thousands(F.floor("o_totalprice")).alias("price"))
 
 
+@query("FN-19", """
+SELECT o_orderkey, format('{:,}', CAST(trunc(o_totalprice) AS BIGINT)) || regexp_replace(
+  substr(printf('%.2f', o_totalprice), -3), '\\.?0*$', '') AS price FROM orders
+""")
+def fn_thousands_decimals(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", numbers.thousands(F.round("o_totalprice", 2)).alias("price"))
+
+
 @query("FN-20", """
 SELECT event_id, CAST(user_id - 90 AS DOUBLE) AS lat,
        CASE WHEN event_type <> 'error' THEN CAST(value AS DOUBLE) END AS lon FROM events

@@ -363,6 +363,14 @@ def search_rows(t: Tables) -> DataFrame:
     return _search(t).rows
 
 
+@query("AGG-34 PRD-1 FN-16", """
+SELECT doc_id, text, text AS highlight FROM documents ORDER BY doc_id LIMIT 50
+""")
+def search_blank(t: Tables) -> DataFrame:
+    found = search(t.documents, "text", " ", key=["doc_id"], facet_fields=["lang"], size=50)
+    return found.rows.select("doc_id", "text", "highlight")
+
+
 @query("AGG-34 AGG-7 AGG-8", _FOUND + """
 , c AS (SELECT 'lang' AS field, lang AS value, count(*) AS count FROM f GROUP BY lang
   UNION ALL SELECT 'source', source, count(*) FROM f GROUP BY source)

@@ -63,6 +63,20 @@ def stream_moving_hits(t: Tables) -> DataFrame:
     return _appended(t, "moving-hits", hits)
 
 
+@query("STR-2", """
+WITH m AS (SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS pane FROM events),
+w AS (SELECT time_bucket(INTERVAL 4 MINUTE, pane) + to_minutes(k) AS window_end, pane
+      FROM m, generate_series(2, 14, 2) s(k))
+SELECT window_end, count(*) AS hits FROM w
+WHERE epoch(window_end) % 240 = 120 AND pane < window_end AND pane >= window_end - INTERVAL 10 MINUTE
+  AND window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+GROUP BY window_end
+""")
+def stream_moving_hits_uneven(t: Tables) -> DataFrame:
+    """Windows whose step does not divide their length."""
+    return _appended(t, "moving-hits-uneven", live.moving_hits(_stream(t), "ts", "10 minutes", "4 minutes"))
+
+
 @query("STR-3", """
 SELECT event_type AS value, count(*) AS count, min(value) AS min, max(value) AS max,
        round(avg(value), 6) AS mean, round(sum(value), 4) AS sum FROM events GROUP BY event_type
@@ -91,13 +105,11 @@ def stream_without_copies(t: Tables) -> DataFrame:
 
 @query("STR-6", """
 SELECT event_id, ts, strftime(ts, '%Y%m%d') AS day FROM events
-WHERE strftime(ts, '%Y%m%d') BETWEEN '20240105' AND '20240109'
 """)
 def stream_day_sink(t: Tables) -> DataFrame:
     rows = _stream(t).select("event_id", "ts")
     path = _work_off(t, "day-sink", lambda data, state: live.day_sink(rows, "ts", data, state))
-    stored = t.spark.read.schema("event_id bigint, ts timestamp_ntz, day string").parquet(path)
-    return stored.where(F.col("day").between("20240105", "20240109"))
+    return t.spark.read.schema("event_id bigint, ts timestamp_ntz, day string").parquet(path)
 
 
 @query("STR-7", """
@@ -121,3 +133,29 @@ def stream_trend(t: Tables) -> DataFrame:
         timedelta(days=7)))
     return live.latest_result(
         t.spark, f"{folder}/trend", "query string, now bigint, then bigint, percent double")
+
+
+@query("STR-7", """
+WITH b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01 05:00:00') AS bucket,
+                  event_type FROM events WHERE ts >= TIMESTAMP '2024-01-01 05:00:00'),
+c AS (SELECT bucket, event_type FROM b WHERE bucket + INTERVAL 6 HOUR
+        <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+e AS (SELECT max(bucket) + INTERVAL 6 HOUR AS stop FROM c),
+n AS (
+  SELECT CASE event_type WHEN 'error' THEN 'errors' ELSE 'clicks' END AS query,
+    count(*) FILTER (bucket >= stop - INTERVAL 7 DAY) AS now,
+    count(*) FILTER (bucket < stop - INTERVAL 7 DAY AND bucket >= stop - INTERVAL 14 DAY) AS "then"
+  FROM c, e WHERE event_type IN ('error', 'click') GROUP BY ALL)
+SELECT query, now, "then",
+  floor((now - "then") * 100.0::DOUBLE / "then" * 100 + 0.5) / 100 AS percent FROM n
+""")
+def stream_moving_trend(t: Tables) -> DataFrame:
+    """The trend over the week up to the newest closed bucket."""
+    width = Interval(6, "h")
+    counts = live.live_histogram(
+        _stream(t), "ts", WINDOW, width, [Query(name, term("event_type", kind)) for name, kind in _QUERIES])
+    folder = scratch_path(t.spark, "moving-trend")
+    live.run_available(live.trend_sink(
+        counts, f"{folder}/buckets", f"{folder}/trend", f"{folder}/checkpoint", interval=width))
+    return live.latest_result(
+        t.spark, f"{folder}/trend", "query string, now bigint, then bigint, percent double")

@@ -85,6 +85,18 @@ def series_month_ends(t: Tables) -> DataFrame:
     return series.histogram(t.orders, "o_orderdate", window, Interval(2, "M"))
 
 
+@query("AGG-14 FN-7", """
+SELECT 'all' AS series, b AS bucket, count(ts) AS count
+FROM generate_series(TIMESTAMP '2024-01-10 06:00:00', TIMESTAMP '2024-01-10 06:00:44.9',
+  INTERVAL 100 MILLISECOND) s(b)
+LEFT JOIN events ON ts >= b AND ts < b + INTERVAL 100 MILLISECOND GROUP BY b
+""")
+def series_short_window(t: Tables) -> DataFrame:
+    """A window so short that its automatic buckets are below one second."""
+    window = TimeWindow.of("2024-01-10 06:00:00", "2024-01-10 06:00:45")
+    return series.histogram(t.events, "ts", window)
+
+
 @query("AGG-17 FN-9", """
 SELECT 'urgent' AS series, b AS bucket, count(o_orderkey) AS count
 FROM generate_series(1000, 500000, 4991) s(b)

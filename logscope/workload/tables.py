@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -25,17 +25,16 @@ def shard_label() -> Column:
     return F.concat(F.lit("_shard"), (F.hour("ts") + 1).cast("string"))
 
 
-@cache
-def _day_table(spark, folder: str) -> str:
-    path = scratch_path(spark, "events-by-day")
-    tables.write_by_day(Tables(spark, folder).events, path)
+def _day_table(t: Tables) -> str:
+    path = scratch_path(t.spark, "events-by-day")
+    tables.write_by_day(t.events, path, mode="overwrite")
     return path
 
 
 def day_table(t: Tables) -> DataFrame:
-    """``events`` laid out by day; written once per session and folder."""
+    """``events`` laid out by day, written for the query."""
     schema = T.StructType([*t.events.schema.fields, T.StructField("day", T.StringType())])
-    return tables.read_by_day(t.spark, _day_table(t.spark, t.folder), schema)
+    return tables.read_by_day(t.spark, _day_table(t), schema)
 
 
 @query("SRC-1 SRC-2 SET-1", """
@@ -43,7 +42,7 @@ SELECT event_id, ts, event_type, strftime(ts, '%Y%m%d') AS day FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:30:00' AND TIMESTAMP '2024-01-13 06:30:00'
 """)
 def source_scan_days(t: Tables) -> DataFrame:
-    rows = tables.scan(day_table(t), THREE_DAYS)
+    rows = tables.scan(day_table(t), THREE_DAYS, max_span_days=5)
     return rows.select("event_id", "ts", "event_type", "day")
 
 
@@ -58,7 +57,7 @@ def source_scan_days_count(t: Tables) -> DataFrame:
 
 @query("SRC-4", "SELECT DISTINCT 'tb_' || strftime(ts, '%Y%m%d') AS \"table\" FROM events")
 def source_list_days(t: Tables) -> DataFrame:
-    return tables.list_days(day_table(t))
+    return tables.list_days(t.spark, _day_table(t))
 
 
 @query("SRC-5 SET-3", """
@@ -67,7 +66,7 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-20 12:00:00' AND TIMESTAMP '2024-02-10 00:00
 """)
 def source_days_with_data(t: Tables) -> DataFrame:
     wanted = TimeWindow.of("2024-01-20 12:00:00", "2024-02-10 00:00:00")
-    found = tables.days_with_data(t.events, "ts", wanted)
+    found = tables.days_with_data(day_table(t), "ts", wanted)
     return found.select(F.col("day").cast("string").alias("day"))
 
 
@@ -195,18 +194,20 @@ def sink_xml(t: Tables) -> DataFrame:
     return _exported(t, t.events, "xml")
 
 
-@query("SNK-4", "SELECT count(*) > 200000 AS refused FROM lineitem")
+@query("SNK-4", """
+SELECT ceiling, (SELECT count(*) FROM lineitem) > ceiling AS refused
+FROM (VALUES (CAST(1000 AS BIGINT)), (CAST(100000000 AS BIGINT))) v(ceiling)
+""")
 def sink_row_ceiling(t: Tables) -> DataFrame:
-    # The export itself raises; here the same bounded count is shown as a flag.
-    ceiling = export.MAX_EXPORT_ROWS
-    counted = t.lineitem.select(F.lit(1).alias("one")).limit(ceiling + 1)
-    return counted.agg((F.count("one") > ceiling).alias("refused"))
+    """The test an export makes before it writes, below and above the table's size."""
+    return reduce(DataFrame.unionByName, (
+        export.over_ceiling(t.lineitem, n).select(F.lit(n).cast("bigint").alias("ceiling"), "refused")
+        for n in (1000, 100_000_000)))
 
 
-@query("SNK-5", "SELECT event_id, ts, event_type FROM events WHERE event_type = 'error'")
+@query("SNK-5", "SELECT event_id, ts, event_type FROM events")
 def sink_columns(t: Tables) -> DataFrame:
-    return _exported(t, t.events.where(term("event_type", "error")), "json",
-                     columns=["event_id", "ts", "event_type"])
+    return _exported(t, t.events, "json", columns=["event_id", "ts", "event_type"])
 
 
 @query("SNK-6", "SELECT event_id, ts, value FROM events")
@@ -233,13 +234,11 @@ def lookup_with_stubs(t: Tables) -> DataFrame:
 @query("JOIN-2", """
 SELECT o.o_orderkey, l.l_linenumber, l.l_quantity, l.l_shipdate
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-WHERE o.o_orderpriority = '1-URGENT' AND l.l_returnflag = 'R'
 """)
 def lookup_without_stubs(t: Tables) -> DataFrame:
-    found = t.orders.where(term("o_orderpriority", "1-URGENT")).select("o_orderkey")
-    stored = t.lineitem.where(term("l_returnflag", "R")).select(
+    stored = t.lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_shipdate")
-    return joins.look_up(found, stored, "o_orderkey", stubs=False)
+    return joins.look_up(t.orders.select("o_orderkey"), stored, "o_orderkey", stubs=False)
 
 
 @query("JOIN-6", """
@@ -264,12 +263,13 @@ def rows_of_other_terms(t: Tables) -> DataFrame:
 
 @query("SET-1", """
 SELECT event_id, value, event_type FROM events WHERE event_type IN ('click', 'error')
-  AND strftime(ts, '%Y%m%d') IN ('20240105', '20240106')
 """)
 def set_union_tables(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", "value", "event_type", day_key(F.col("ts")).alias("day"))
-    days = [rows.where(F.col("day") == d).drop("day") for d in ("20240105", "20240106")]
-    return sets.union_tables(days).where(F.col("event_type").isin("click", "error"))
+    # Two tables of one layout: the events before and after the middle of the month.
+    rows, middle = t.events.select("event_id", "value", "event_type", "ts"), F.lit("2024-01-16")
+    early = F.col("ts") < middle.cast("timestamp_ntz")
+    halves = [rows.where(early).drop("ts"), rows.where(~early | F.col("ts").isNull()).drop("ts")]
+    return sets.union_tables(halves).where(F.col("event_type").isin("click", "error"))
 
 
 @query("SET-2", """

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 import plans
+from conftest import SMALL
+import compare
 from logscope.functions import nested
 from logscope.operators import facets, geo, joins, pivots, sets
 from logscope.operators.predicates import Query
@@ -181,3 +183,7 @@ def test_hits_of_one_query_and_of_none_matching(kinds):
     several = [*one, Query("never", F.lit(None).cast("boolean")), Query("wide", F.col("v") >= 4)]
     assert listed(facets.hits(kinds, several)) == [("a", 3, 16), ("never", 0, 16), ("wide", 13, 16)]
     assert listed(facets.hits(kinds.where("false"), several))[0] == ("a", 0, 0)
+
+
+def test_look_up_reads_each_table_once(spark):
+    assert plans.scans(compare.contract.queries()["lookup_with_stubs"](spark, SMALL)) == 2

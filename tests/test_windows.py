@@ -92,7 +92,7 @@ def test_interval_text_without_unit(spark):
 @pytest.mark.parametrize("span, text", [
     (timedelta(minutes=15), "10s"), (timedelta(hours=1), "30s"), (timedelta(days=1), "10m"),
     (timedelta(days=7), "1h"), (timedelta(days=30), "12h"), (timedelta(days=365), "1d"),
-    (timedelta(days=4000), "30d"), (timedelta(days=5000), "1y"),
+    (timedelta(days=4000), "30d"), (timedelta(days=5000), "1y"), (timedelta(seconds=45), "100ms"),
 ])
 def test_auto_interval(spark, span, text):
     # The column ladder and the one for literals agree.
@@ -178,6 +178,10 @@ def test_percent_is_floored(spark):
 def test_number_texts(spark):
     assert one(spark, numbers.thousands(F.lit(1234567))) == "1,234,567"
     assert one(spark, numbers.thousands(F.lit(999))) == "999"
+    for number, wanted in ((1234.56789, "1,234.56789"), (-0.5, "-0.5"), (-1234567.0, "-1,234,567"),
+                           (0.0, "0"), (100.10, "100.1"), (1e10, "10,000,000,000")):
+        assert one(spark, numbers.thousands(F.lit(number))) == wanted
+    assert one(spark, numbers.thousands(F.lit(None).cast("double"))) is None
     assert one(spark, numbers.numeric_gap(F.lit(0), F.lit(250))) == 4
     assert one(spark, numbers.to_number(F.lit("x1"))) is None
     assert one(spark, numbers.to_number(F.lit("NaN"))) is None
