@@ -241,7 +241,7 @@ def derived_queries(
     mode: Literal["terms only", "AND", "OR"] = "terms only", rest: bool = True,
     exclude: Sequence = (), where: Column | None = None,
 ) -> DataFrame:
-    """``(query, hits)``: one query per top term and one for what none of them matches.
+    """``(kind, query, hits)``: one query per top term and one for what none of them matches.
 
     The top terms are those of the rows ``query`` matches. Mode AND narrows each
     term query by ``query``, OR widens it. One grouped pass answers all: a term
@@ -264,11 +264,13 @@ def derived_queries(
     else:
         own = F.col("_n") + sums["_q"] - F.col("_q")
         taken, every = F.col("_n") - F.col("_q"), sums["_n"] - sums["_q"]
-    named = top.select(F.col("value").cast("string").alias("query"), own.alias("hits"))
+    named = top.select(F.lit("term").alias("kind"), F.col("value").cast("string").alias("query"),
+                       own.alias("hits"))
     if not rest:
         return named
     left = F.coalesce(every, F.lit(0)) - top.agg(F.coalesce(F.sum(taken), F.lit(0))).scalar()
-    other = df.sparkSession.range(0, 1, 1, 1).select(F.lit("other").alias("query"), left.alias("hits"))
+    other = df.sparkSession.range(0, 1, 1, 1).select(
+        F.lit("other").alias("kind"), F.lit("other").alias("query"), left.alias("hits"))
     return named.unionByName(other)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from datetime import datetime, timedelta
 from decimal import Decimal
 from functools import partial
@@ -204,6 +205,9 @@ def multi_series(
 # Operators over a finished (series, bucket, count) table. It has one row per
 # bucket and series, so a window by series holds at most the bucket count.
 
+_RUN = 4096
+
+
 def _point(bucket: Column, count: Column, value: str) -> Column:
     return F.struct(bucket.alias("bucket"), count.alias(value))
 
@@ -232,15 +236,23 @@ def fill_minimal(points: DataFrame, interval: Interval, series: str = "series",
 
 def fill_all(points: DataFrame, interval: Interval, series: str = "series",
              value: str = "count") -> DataFrame:
-    """A zero at every missing step between two points."""
+    """A zero at every missing step between two points.
+
+    A gap is cut into runs of ``_RUN`` steps before they are spread out, so a row never
+    holds more steps than that, or than the gap has runs.
+    """
     at, after = F.col("bucket"), F.col("_after")
     zero = F.lit(0).cast(points.schema[value].dataType)
-    # A sequence stops at the next point or short of it; the last point has none to reach.
-    steps = F.sequence(at, F.coalesce(after, at), F.expr(interval.sql()))
-    due = F.filter(steps, lambda s: (s > at) & (s < after))
-    own = F.array(_point(at, F.coalesce(F.col(value), zero), value))
-    rows = F.concat(own, F.transform(due, lambda s: _point(s, zero, value)))
-    return _neighbours(points, series).select(series, F.inline(rows))
+    run = F.expr(replace(interval, count=interval.count * _RUN).sql())
+    runs = _neighbours(points, series).withColumn(
+        "_run", F.explode(F.sequence(at, F.coalesce(after, at), run)))
+    # A run stops before the next one and before the next point; the last point has none to reach.
+    last = F.least(interval.shift(F.col("_run"), _RUN - 1), F.coalesce(after, at))
+    spread = runs.withColumn("_step", F.explode(F.sequence(F.col("_run"), last, F.expr(interval.sql()))))
+    own = F.col("_step") == at
+    return spread.where(own | (F.col("_step") < after)).select(
+        series, F.col("_step").alias("bucket"),
+        F.when(own, F.coalesce(F.col(value), zero)).otherwise(zero).alias(value))
 
 
 def require_times(points: DataFrame, names: Sequence[str], series: str = "series",

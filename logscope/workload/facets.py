@@ -291,8 +291,8 @@ def facet_share(t: Tables) -> DataFrame:
 
 @query("AGG-29 JOIN-6", """
 WITH top AS (SELECT user_id AS v FROM events GROUP BY v ORDER BY count(*) DESC, v LIMIT 5)
-SELECT CAST(v AS VARCHAR) AS query, (SELECT count(*) FROM events WHERE user_id = v) AS hits FROM top
-UNION ALL SELECT 'other', count(*) FROM events WHERE user_id NOT IN (SELECT v FROM top)
+SELECT 'term' AS kind, CAST(v AS VARCHAR) AS query, (SELECT count(*) FROM events WHERE user_id = v) AS hits FROM top
+UNION ALL SELECT 'other', 'other', count(*) FROM events WHERE user_id NOT IN (SELECT v FROM top)
 """)
 def derived_terms(t: Tables) -> DataFrame:
     return facets.derived_queries(t.events, "user_id", 5)
@@ -301,9 +301,9 @@ def derived_terms(t: Tables) -> DataFrame:
 @query("AGG-29", """
 WITH top AS (SELECT user_id AS v FROM events WHERE value > 20 GROUP BY v
              ORDER BY count(*) DESC, v LIMIT 5)
-SELECT CAST(v AS VARCHAR) AS query,
+SELECT 'term' AS kind, CAST(v AS VARCHAR) AS query,
        (SELECT count(*) FROM events WHERE user_id = v AND value > 20) AS hits FROM top
-UNION ALL SELECT 'other', count(*) FROM events
+UNION ALL SELECT 'other', 'other', count(*) FROM events
 WHERE NOT (user_id IN (SELECT v FROM top) AND value > 20)
 """)
 def derived_terms_and(t: Tables) -> DataFrame:
@@ -313,9 +313,9 @@ def derived_terms_and(t: Tables) -> DataFrame:
 @query("AGG-29", """
 WITH top AS (SELECT user_id AS v FROM events WHERE value > 20 GROUP BY v
              ORDER BY count(*) DESC, v LIMIT 5)
-SELECT CAST(v AS VARCHAR) AS query,
+SELECT 'term' AS kind, CAST(v AS VARCHAR) AS query,
        (SELECT count(*) FROM events WHERE user_id = v OR value > 20) AS hits FROM top
-UNION ALL SELECT 'other', count(*) FROM events
+UNION ALL SELECT 'other', 'other', count(*) FROM events
 WHERE NOT (user_id IN (SELECT v FROM top) OR value > 20)
 """)
 def derived_terms_or(t: Tables) -> DataFrame:

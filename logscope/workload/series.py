@@ -103,11 +103,15 @@ FROM generate_series(1000, 500000, 4991) s(b)
 LEFT JOIN orders ON o_totalprice >= b AND o_totalprice < b + 4991
   AND o_orderpriority = '1-URGENT'
 GROUP BY b
+UNION ALL SELECT 'all', b, count(o_orderkey)
+FROM generate_series(1000, 500000, 4991) s(b)
+LEFT JOIN orders ON o_totalprice >= b AND o_totalprice < b + 4991
+GROUP BY b
 """)
 def series_price_ranges(t: Tables) -> DataFrame:
     # The gap is round((500000 - 1000) / 100) + 1.
-    urgent = [Query("urgent", term("o_orderpriority", "1-URGENT"))]
-    return series.range_histogram(t.orders, "o_totalprice", 1000, 500000, 4991, urgent)
+    shown = [Query("urgent", term("o_orderpriority", "1-URGENT")), Query("all", match_all())]
+    return series.range_histogram(t.orders, "o_totalprice", 1000, 500000, 4991, shown)
 
 
 @query("AGG-18", "SELECT ts, event_id, value FROM events ORDER BY ts, event_id LIMIT 100000")
@@ -187,17 +191,17 @@ def chart_multi_series(t: Tables) -> DataFrame:
                                key=["l_orderkey", "l_linenumber"])
 
 
-# Zero-filling, over the sparse hourly counts of expensive events.
+# Zero-filling, over the counts by minute, which leave most minutes out.
 
 def _sparse(t: Tables) -> DataFrame:
-    large = t.events.where(F.col("value") > 60).select(
-        F.col("event_type").alias("series"), floor_to(F.col("ts"), "HOUR").alias("bucket"))
-    return large.groupBy("series", "bucket").agg(F.count(F.lit(1)).alias("count"))
+    rows = t.events.select(
+        F.col("event_type").alias("series"), floor_to(F.col("ts"), "MINUTE").alias("bucket"))
+    return rows.groupBy("series", "bucket").agg(F.count(F.lit(1)).alias("count"))
 
 
 _SPARSE = """WITH p AS (
-  SELECT event_type AS series, date_trunc('hour', ts) AS bucket, count(*) AS count
-  FROM events WHERE value > 60 GROUP BY ALL)
+  SELECT event_type AS series, date_trunc('minute', ts) AS bucket, count(*) AS count
+  FROM events GROUP BY ALL)
 """
 
 
@@ -206,22 +210,22 @@ _SPARSE = """WITH p AS (
         WINDOW w AS (PARTITION BY series ORDER BY bucket))
 SELECT series, bucket, count FROM p
 UNION (
-  SELECT series, bucket + INTERVAL 1 HOUR, 0 FROM n WHERE next > bucket + INTERVAL 1 HOUR
+  SELECT series, bucket + INTERVAL 1 MINUTE, 0 FROM n WHERE next > bucket + INTERVAL 1 MINUTE
   UNION
-  SELECT series, bucket - INTERVAL 1 HOUR, 0 FROM n WHERE prev < bucket - INTERVAL 1 HOUR)
+  SELECT series, bucket - INTERVAL 1 MINUTE, 0 FROM n WHERE prev < bucket - INTERVAL 1 MINUTE)
 """)
 def series_fill_minimal(t: Tables) -> DataFrame:
-    return series.fill_minimal(_sparse(t), Interval(1, "h"))
+    return series.fill_minimal(_sparse(t), Interval(1, "m"))
 
 
 @query("W-2", _SPARSE + """
 , e AS (SELECT series, min(bucket) AS lo, max(bucket) AS hi FROM p GROUP BY series),
-s AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS bucket FROM e)
+s AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS bucket FROM e)
 SELECT s.series, s.bucket, coalesce(p.count, 0) AS count
 FROM s LEFT JOIN p ON p.series = s.series AND p.bucket = s.bucket
 """)
 def series_fill_all(t: Tables) -> DataFrame:
-    return series.fill_all(_sparse(t), Interval(1, "h"))
+    return series.fill_all(_sparse(t), Interval(1, "m"))
 
 
 @query("W-6", _SPARSE + """
@@ -248,10 +252,9 @@ def series_pad_edges(t: Tables) -> DataFrame:
     return padded.withColumn("count", F.col("count").cast("double"))
 
 
-@query("W-9", _SPARSE + "SELECT series, bucket, count FROM p WHERE series <> 'view'")
+@query("W-9", _SPARSE + "SELECT series, bucket, count FROM p")
 def series_drop_zeros(t: Tables) -> DataFrame:
-    filled = series.require_times(_sparse(t).where(F.col("series") != "view"),
-                                  ["click", "error", "purchase", "signup"])
+    filled = series.require_times(_sparse(t), ["click", "error", "purchase", "signup", "view"])
     return series.drop_zeros(filled)
 
 
