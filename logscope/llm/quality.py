@@ -97,7 +97,7 @@ def measured(docs: DataFrame, text: str = "text",
         F.size(F.filter("_words", lambda w: w.isin(stop))).alias("n_stop"),
         F.length(F.regexp_replace("_text", "[^0-9]+", "")).alias("n_digits"),
         F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).alias("n_bullets"),
-        F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("n_dots"),
+        F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*\z"))).alias("n_dots"),
     ).alias("_m"))
     m = F.col("_m")
     return step.withColumn("_m", F.struct(
@@ -146,3 +146,49 @@ def op1(spark, sf_dir: str) -> DataFrame:
         m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
         "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"))
+
+
+def _listed(names: Sequence[str]) -> str:
+    return ", ".join(f"'{n}'" for n in sorted(names))
+
+
+_STOP = {w for words_ in STOP_WORDS.values() for w in words_}
+
+OP1_SQL = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), windows AS (
+  SELECT doc_id, i AS p, array_to_string(w[i:i + 4], ' ') AS words
+  FROM t, unnest(range(1, len(w) - 3)) AS r(i)
+), again AS (
+  SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, words) > 1
+), steps AS (
+  SELECT doc_id, least(5, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 5)) AS n FROM again
+), covered AS (SELECT doc_id, sum(n) AS n FROM steps GROUP BY doc_id
+), m AS (
+  SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+    len(list_filter(w, lambda x: x IN ({_listed(_STOP | {w.capitalize() for w in _STOP})}))) AS n_stop,
+    length(regexp_replace(body, '[^0-9]', '', 'g')) AS n_digits,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) AS n_bullets,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_dots
+  FROM t LEFT JOIN covered USING (doc_id)
+), r AS (
+  SELECT *, word_chars / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(word_chars, 0) AS symbol_ratio,
+    n_stop / nullif(n_words, 0) AS stop_word_ratio, n_digits / nullif(word_chars, 0) AS digit_ratio,
+    n_dup_lines / nullif(n_lines, 0) AS duplicate_line_ratio, n_bullets / nullif(n_lines, 0) AS bullet_line_ratio,
+    n_dots / nullif(n_lines, 0) AS ellipsis_line_ratio,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed {" ".join(
+      f"AND coalesce({r.measure} {sign} {bound}, true)" for r in RULES
+      for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None)} AS kept
+FROM r
+"""

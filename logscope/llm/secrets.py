@@ -178,3 +178,43 @@ def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     done = F.aggregate(found, begun, step, lambda state: F.concat(F.array_join(state["parts"], ""),
                        F.substring(text, state["at"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, done).otherwise(text)
+
+
+def _either_case(word: str) -> str:
+    """A pattern for an ASCII word in either case, without an engine's own case folding."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_SQL_PATTERNS = {
+    "assign": rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "bearer": rf"{_either_case('bearer')}\x20+([A-Za-z0-9._~+/=-]+)",
+}
+
+
+def _kind_sql(number: int, rule: Rule) -> str:
+    pattern = _SQL_PATTERNS.get(rule.kind, rule.pattern).replace("'", "''")
+    return f"""
+  SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda k: {{
+    'start': list_sum(list_transform(g[1:k], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0),
+    'size': length(m[k]), 'counts': length(c[k])}})) AS s
+  FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS g,
+    regexp_extract_all(text, '{pattern}') AS m,
+    regexp_extract_all(text, '{pattern}', {rule.group}) AS c FROM documents
+    WHERE regexp_matches(text, '{pattern}'))"""
+
+
+OP2_SQL = f"""
+WITH every AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(RULES))}
+), found AS (
+  SELECT doc_id, number, CAST(s.start AS BIGINT) AS start,
+    kind || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.start + s.size AS BIGINT) AS span
+  FROM every WHERE s.counts >= CASE kind {" ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in RULES)} END
+)
+SELECT d.doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access,
+  count(*) FILTER (number = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, number) FILTER (number < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, number), '') AS spans
+FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from logscope.llm import byte_bpe, lines, minhash, neighbours, packing, quality, repeats, secrets, toxicity, urls
 
 QUERIES = {
-    "op1_quality_rules": (quality.op1, None),
-    "op2_secret_scans": (secrets.op2, None),
+    "op1_quality_rules": (quality.op1, quality.OP1_SQL),
+    "op2_secret_scans": (secrets.op2, secrets.OP2_SQL),
     "op3_mixture_packing": (packing.op3, None),
     "op4_byte_bpe": (byte_bpe.op4, None),
     "op5_repeated_substrings": (repeats.op5, None),
