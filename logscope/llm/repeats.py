@@ -141,10 +141,10 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def anchored(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """Each row with a number, its compressed bytes and its anchors, written once."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["h", "d1", "d2", "place", "first", "last"]
+    names = ["h", "d1", "d2", "place", "before", "after"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squeeze, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 40
+        squeeze, number = zstandard.ZstdCompressor(level=5), TaskContext.get().partitionId() << 40
         for batch in batches:
             packed, lists = [], []
             for body in batch["text"]:
@@ -156,7 +156,8 @@ def anchored(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                     x.update(b"%d %d" % (place - first, last - first))
                     d = x.digest()
                     own.append((h, int.from_bytes(d[:8], "little", signed=True),
-                                int.from_bytes(d[8:], "little", signed=True), place, first, last))
+                                int.from_bytes(d[8:], "little", signed=True), place, place - first,
+                                last - place))
                 lists.append(own)
             out = {"row": range(number, number + len(batch)), "key": batch["key"], "packed": packed}
             number += len(batch)
@@ -164,7 +165,7 @@ def anchored(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                 out[name] = [[x[i] for x in own] for own in lists]
             yield pd.DataFrame(out)
 
-    arrays = ", ".join(f"{n} array<bigint>" for n in names)
+    arrays = ", ".join(f"{n} array<{'bigint' if n in ('h', 'd1', 'd2') else 'int'}>" for n in names)
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return written(rows.mapInPandas(run, f"row bigint, key {kind}, packed binary, {arrays}"), "anchored")
 
@@ -172,15 +173,16 @@ def anchored(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
 def _segments(table: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``wanted`` with the bytes of each segment, cut from the rows that hold them."""
     lists = wanted.groupBy("row").agg(F.collect_list(
-        F.struct("h", "place", "first", "last", "n")).alias("own"))
+        F.struct("h", "place", "before", "after", "n")).alias("own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loose = zstandard.ZstdDecompressor()
         for batch in batches:
             for row, packed, own in zip(batch["row"], batch["packed"], batch["own"], strict=True):
                 data = loose.decompress(packed)
-                yield pd.DataFrame([(x["h"], row, x["place"], x["first"], x["n"],
-                                     data[x["first"]:x["last"] + length]) for x in own],
+                yield pd.DataFrame([(x["h"], row, x["place"], x["place"] - x["before"], x["n"],
+                                     data[x["place"] - x["before"]:x["place"] + x["after"] + length])
+                                    for x in own],
                                    columns=["h", "row", "place", "first", "n", "data"])
 
     return table.select("row", "packed").join(lists, "row").mapInPandas(
@@ -243,15 +245,16 @@ def _hashed(segments: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(table: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``(row, start, stop)``: spans whose bytes all lie in repeated strings."""
-    every = table.select("row", F.inline(F.arrays_zip("h", "d1", "d2", "place", "first", "last")))
+    every = table.select("row", F.inline(F.arrays_zip("h", "d1", "d2", "place", "before", "after")))
     classes = every.groupBy("h", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place", "first", "last")).alias("one"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place", "before", "after")).alias("one"))
     groups = written(classes.select("h", "d1", "d2", "n", "one.*"), "segment-classes")
     sums = groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     open_ = sums.where("kinds > 1 AND least = 1").select("h", "kinds")
     wanted = groups.join(open_, "h")
     whole = every.join(groups.where("n > 1").select("h", "d1", "d2"), ["h", "d1", "d2"]).select(
-        "row", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+        "row", (F.col("place") - F.col("before")).cast("bigint").alias("start"),
+        (F.col("place") + F.col("after") + length).cast("bigint").alias("stop"))
     found = whole.unionByName(_ordered(
         _segments(table, wanted.where(F.col("kinds") <= hot), length), length))
     if not open_.where(F.col("kinds") > hot).isEmpty():

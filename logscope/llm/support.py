@@ -22,7 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: an executor lost later costs a read, not the work before.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
