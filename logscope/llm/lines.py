@@ -41,7 +41,7 @@ def hashed_lines(docs: DataFrame, least_length: int, key: str, text: str) -> Dat
 
 def decisions(lines: DataFrame, least_docs: int) -> DataFrame:
     """``(h1, h2, keeper)`` of the lines found in at least ``least_docs`` documents."""
-    slices = lines.groupBy("h1", "h2", F.pmod("doc", F.lit(SLICES)).alias("slice")).agg(
+    slices = lines.groupBy("h1", "h2", F.pmod(F.xxhash64("doc"), F.lit(SLICES)).alias("slice")).agg(
         F.count_distinct("doc", F.lit(0)).alias("n"), F.max("doc").alias("last"),
         F.max(F.col("doc").isNull().cast("int")).alias("unnamed"))
     ordered = slices.repartitionByRange("h1", "h2").sortWithinPartitions(

@@ -98,14 +98,22 @@ def candidates(index: DataFrame, rules: Sequence[Rule], grams: Sequence[str]) ->
     return bits.select("key", hit.alias("rules")).where(F.size("rules") > 0)
 
 
-def spans(text: Column, number: int, rule: Rule) -> Column:
+def _long_runs(rule: Rule) -> str:
+    """The pattern of a rule that is one run of a class, for runs long enough only.
+
+    A run is matched whole, so leaving out short ones moves no other match.
+    """
+    return f"{rule.pattern[:-1]}{{{rule.least},}}"
+
+
+def spans(text: Column, number: int, rule: Rule, pattern: str) -> Column:
     """Start, rule number and end of each leftmost non-overlapping match long enough.
 
     The pieces between matches and the matches themselves add up to the positions.
     """
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
     sizes = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(0))).alias("gap"),
                          F.transform(whole, lambda x: F.length(x)).alias("size"),
                          F.transform(part, lambda x: F.length(x)).alias("counts"))
@@ -137,10 +145,12 @@ def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id",
     none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
     each = []
     for number, rule in enumerate(rules):
-        # The least length is tried first in one cheap pass where the rule is a plain run.
-        test = (body.rlike(f"{rule.pattern[:-1]}{{{rule.least},}}") if queries[number] is None
+        run = re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and rule.group == 0
+        pattern = _long_runs(rule) if run else rule.pattern
+        # Without mandatory trigrams every text is scanned, once, for whether there is a match.
+        test = (body.rlike(pattern) if queries[number] is None
                 else F.coalesce(F.array_contains("rules", number), F.lit(False)))
-        each.append(F.when(test, spans(body, number, rule)).otherwise(none))
+        each.append(F.when(test, spans(body, number, rule, pattern)).otherwise(none))
     return joined.select("row", F.sort_array(F.concat(*each)).alias("spans"))
 
 
