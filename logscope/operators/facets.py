@@ -26,6 +26,8 @@ def hits(df: DataFrame, queries: Sequence[Query], where: Column | None = None) -
 
     Rows that no query matches are dropped first, by the scan where it can.
     """
+    if not queries:
+        raise ValueError("hits need at least one query")
     counts = [F.count_if(flag).alias(f"_{i}") for i, flag in enumerate(flags(queries))]
     wide = keep(df, where).where(any_query(queries)).agg(*counts)
     rows = F.array(

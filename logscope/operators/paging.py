@@ -69,6 +69,8 @@ def page(
     Every task keeps the rows up to the page's end, so this is for the first
     pages; walk further with :func:`page_after`.
     """
+    if number < 0 or size < 0:
+        raise ValueError("a page has a number and a size of 0 or more")
     begin, end = number * size, (number + 1) * size
     if total is not None:
         begin, end = min(begin, total), min(end, total)

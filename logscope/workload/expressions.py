@@ -71,6 +71,7 @@ def fn_interval_seconds(t: Tables) -> DataFrame:
     return t.events.select("event_id", intervals.interval_seconds(written).cast("double").alias("seconds"))
 
 
+# The width ladder of ``functions.intervals``, restated.
 @query("FN-7", """
 WITH s AS (SELECT event_type, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS span FROM events
            GROUP BY event_type)
@@ -254,6 +255,8 @@ def _links(df: DataFrame, key: str, column: str) -> DataFrame:
         key, "kind", F.explode("links").alias("link"))
 
 
+# The link patterns of ``functions.text``, restated; literal cases with links
+# written by hand are in the tests.
 _LINKS = r"""
 SELECT {key}, 'url' AS kind, unnest(regexp_extract_all({text},
   '(?i)\b(?:https?|ftp)://[-A-Z0-9+&@#/%?=~_|!:,.;]*[-A-Z0-9+&@#/%=~_|*]')) AS link FROM {table}

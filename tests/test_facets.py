@@ -193,3 +193,8 @@ def test_a_value_named_other_is_a_term(spark):
     rows = spark.createDataFrame([("other",)] * 3 + [("x",)], "k string")
     got = listed(facets.derived_queries(rows, "k", 1))
     assert got == [("term", "other", 3), ("other", "other", 1)]
+
+
+def test_hits_need_a_query(kinds):
+    with pytest.raises(ValueError, match="at least one"):
+        facets.hits(kinds, [])

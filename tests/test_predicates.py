@@ -129,3 +129,18 @@ def test_links(spark):
     assert row["url"] == ["http://a.example/x?y=1", "HTTPS://D.example/"]
     assert row["host"] == ["www.b.example"]
     assert row["mail"] == ["me@c.example."]
+
+
+def test_links_written_by_hand(spark):
+    row = spark.createDataFrame([(
+        "See https://a.example/x?y=1, (www.b.example) or mail me.too@c.example. ftp://d.example/z!",
+    )], "t string").select(*(text.links(F.col("t"), kind).alias(kind) for kind in text.LINK_PATTERNS)).first()
+    assert row["url"] == ["https://a.example/x?y=1", "ftp://d.example/z"]
+    assert row["host"] == ["www.b.example"]
+    assert row["mail"] == ["me.too@c.example."]
+
+
+def test_a_blank_highlight_leaves_the_text(spark):
+    row = spark.createDataFrame([("a - b, (c)!",)], "t string")
+    assert row.select(text.highlight(F.col("t"), [])).first()[0] == "a - b, (c)!"
+    assert row.select(text.highlight(F.col("t"), [""])).first()[0] == "a - b, (c)!"
