@@ -37,7 +37,7 @@ from logscope.llm.support import importable, written
 
 BANDS, ROWS = 42, 6
 #: Classes of a block: a task holds the sets of two blocks.
-BLOCK = 512
+BLOCK = 2048
 _CACHED = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
