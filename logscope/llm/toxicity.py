@@ -6,6 +6,10 @@ automaton, so a term with a typing error still counts, though less. Around each
 window is read for quotation marks and words of reporting: quoted hits and abusive ones are
 separate inputs of a logistic regression.
 
+A term counts by its weight: how much commoner it is in toxic rows, shrunk where chance
+could explain it. No share of all rows is asked for, so the marker of a language or source
+with few rows takes part as soon as its own rows bear it out.
+
 Learning takes at most ``SAMPLE`` labelled rows, chosen by a hash of their id; everything
 else reads all rows. Defined results: a null or empty text has no hits and the score of a
 text without hits; a null ``doc_id`` is never held out; several labels of one id count as
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,9 +33,13 @@ from pyspark.sql import functions as F
 
 from logscope.llm.support import importable
 
-#: Bounds of what is learnt from: labelled rows, and terms of the lexicon.
+#: Bounds of what is learnt from: labelled rows, and terms of the lexicon (best attested first).
 SAMPLE = 20_000
 TERMS = 2_000
+#: Toxic rows that must hold a term; the ratio of uses up to which it is none, since whole
+#: languages or sources may differ by that with all their words; the ratio that weighs 1.
+LEAST = 5
+NO_RATIO, FULL_RATIO = 3, 50
 WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 STEMS = (4, 5, 6, 7)
 #: Words that announce a quotation or a report, and how far around a hit they count.
@@ -52,17 +61,22 @@ class Lexicon:
     #: Misspelt forms that clean documents hold: words of their own, so no hits.
     own_words: frozenset[str] = frozenset()
     errors: int = 1
+    #: Weights of terms, up to 1; terms without one weigh 1. Only those of 1 match with errors.
+    strength: dict[str, float] = field(default_factory=dict)
     _memory: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
+        self.firm: dict = {}
         self.shapes: dict[tuple[int, int], tuple[set, set]] = {}
         for term in self.terms:
-            word, node = term.rstrip("*"), self.trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node["*" if term.endswith("*") else "."] = word
-            if len(word) > 4:
+            word, strength = term.rstrip("*"), self.strength.get(term, 1.0)
+            for trie in (self.trie, self.firm) if strength >= 1 else (self.trie,):
+                node = trie
+                for c in word:
+                    node = node.setdefault(c, {})
+                node["*" if term.endswith("*") else "."] = strength
+            if len(word) > 4 and strength >= 1:
                 half = len(word) // 2
                 first, second = self.shapes.setdefault((half, len(word) - half), (set(), set()))
                 first.add(word[:half])
@@ -72,7 +86,7 @@ class Lexicon:
         return self.__dict__ | {"_memory": {}}
 
     def weight(self, word: str) -> float:
-        """1 for a term, less for a term with errors, 0 for any other word."""
+        """A term's strength (1 if none is given), less for a term with errors, 0 for any other word."""
         known = self._memory.get(word)
         if known is None:
             if len(self._memory) >= _REMEMBERED:
@@ -81,22 +95,30 @@ class Lexicon:
         return known
 
     def _weigh(self, word: str) -> float:
-        if self._exact(word):
-            return 1.0
+        exact = self._exact(word)
+        # A weak stem must not hide a strong term with an error.
+        return exact if exact >= 0.6 else max(exact, self._misspelt(word))
+
+    def _misspelt(self, word: str) -> float:
         if word in self.own_words or not self._near(word):
             return 0.0
         found = self._distance(word)
         return 0.0 if found is None else 1.0 - 0.4 * found
 
-    def _exact(self, word: str) -> bool:
-        node = self.trie
+    def is_misspelt(self, word: str) -> bool:
+        """Whether a word counts, or counts more, as a term with errors."""
+        exact = self._exact(word)
+        return exact < 0.6 and self._misspelt(word) > exact
+
+    def _exact(self, word: str) -> float:
+        """The strongest of the word and its stems, 0 if none is a term."""
+        node, best = self.trie, 0.0
         for c in word:
-            if "*" in node:
-                return True
+            best = max(best, node.get("*", 0.0))
             node = node.get(c)
             if node is None:
-                return False
-        return "." in node or "*" in node
+                return best
+        return max(best, node.get(".", 0.0), node.get("*", 0.0))
 
     def _near(self, word: str) -> bool:
         """With one error, one half of the term stands unchanged at its place, or one beside."""
@@ -111,7 +133,7 @@ class Lexicon:
     def _distance(self, word: str) -> int | None:
         """Least errors to a term of five letters or more: rows of the automaton along the trie."""
         best, width = self.errors + 1, len(word) + 1
-        stack = [(self.trie, list(range(width)), 0)]
+        stack = [(self.firm, list(range(width)), 0)]
         while stack:
             node, row, depth = stack.pop()
             if depth > 4:
@@ -188,55 +210,96 @@ def _stems(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
 
 
-def learnt_terms(rows: DataFrame, most: int = TERMS) -> frozenset[str]:
-    """Words and stems that many toxic documents hold and hardly any other."""
+def learnt_terms(rows: DataFrame, most: int = TERMS) -> dict[str, float]:
+    """Words and stems that toxic documents hold more often than others, with their weights."""
 
     def counted(own: DataFrame, among: frozenset[str] | None) -> DataFrame:
-        """``(term, n)``: how many texts hold a term; the empty term stands for all texts."""
+        """``(term, n, uses)``: texts that hold a term, and its uses; the empty term: all texts."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts: Counter = Counter()
+            counts, uses = Counter(), Counter()
             for batch in batches:
                 for body in batch["text"]:
-                    found = {t for w in set(WORD.findall((body or "").lower()))
-                             if 4 <= len(w) <= 40 for t in _stems(w)}
-                    counts.update(found if among is None else found & among)
+                    found: Counter = Counter()
+                    for w, n in Counter(WORD.findall((body or "").lower())).items():
+                        if 4 <= len(w) <= 40:
+                            for t in _stems(w):
+                                if among is None or t in among:
+                                    found[t] += n
+                    uses.update(found)
+                    counts.update(found.keys())
                     counts[""] += 1
             terms, sizes = np.array(list(counts), object), list(counts.values())
             for at in range(0, len(terms), 50_000):
-                yield pd.DataFrame({"term": terms[at:at + 50_000], "n": sizes[at:at + 50_000]})
+                some = terms[at:at + 50_000]
+                yield pd.DataFrame({"term": some, "n": sizes[at:at + 50_000], "uses": [uses[t] for t in some]})
 
-        return own.mapInPandas(run, "term string, n bigint").groupBy("term").agg(
-            F.sum("n").alias("n"))
+        return own.mapInPandas(run, "term string, n bigint, uses bigint").groupBy("term").agg(
+            F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
     toxic = counted(rows.where("toxic = 1"), None)
     total = toxic.where("term = ''").first()
     if total is None:
-        return frozenset()
-    # A toxic text has so many terms; those in one of seventy are some thousands.
-    least = max(5, int(0.015 * total["n"]))
-    support = {r["term"]: r["n"] for r in toxic.where(F.col("n") >= least).collect()}
-    clean = {r["term"]: r["n"] for r in counted(
-        rows.where("toxic = 0"), frozenset(support)).collect()}
-    if not clean:
-        return frozenset()
-    odds = {t: (n / total["n"]) / ((clean.get(t, 0) + 1) / clean[""]) for t, n in support.items()}
-    good = sorted((t for t in support if t and odds[t] >= 50), key=lambda t: (-support[t], t))
-    return chosen({t: support[t] for t in good[:most]})
-
-
-def chosen(support: dict[str, int]) -> frozenset[str]:
-    """Of a word and its stems, the longest that is hardly rarer than the shortest."""
-    kept = set()
+        return {}
+    # The texts of the sample bound these: about a hundred thousand.
+    often = {r["term"]: (r["n"], r["uses"])
+             for r in toxic.where((F.col("n") >= LEAST) & (F.col("term") != "")).collect()}
+    clean = {r["term"]: (r["n"], r["uses"]) for r in counted(
+        rows.where("toxic = 0"), frozenset(often)).collect()}
+    if not clean or not often:
+        return {}
+    support = {t: n for t, (n, _) in often.items()}
+    found = {t: strength(often[t], total["n"], clean.get(t, (0, 0)), clean[""][0], len(often)) for t in often}
+    found = {t: v for t, v in found.items() if v[0] > 0}
+    kept = chosen({t: support[t] for t in found}, {t: v[0] for t, v in found.items()})
+    best = sorted(kept, key=lambda t: (-found[t][1], t))[:most]
+    return {t: found[t][0] for t in best}
+
+
+def strength(toxic: tuple[int, int], all_toxic: int, clean: tuple[int, int], all_clean: int,
+             among: int) -> tuple[float, float]:
+    """Weight and evidence of a term, from the texts that hold it and its uses in them.
+
+    The weight is the logarithm of the ratio of uses a text, 1 from ``FULL_RATIO`` on and 0 up
+    to ``NO_RATIO``. It is shrunk by the evidence (a likelihood ratio of texts) that the best
+    of ``among`` terms reaches by chance.
+    """
+    (a, uses), (b, clean_uses) = toxic, clean
+    p, ratio = (a + b) / (all_toxic + all_clean), (uses + 0.5) * all_clean / (clean_uses + 0.5) / all_toxic
+    if p >= 1 or a * all_clean <= b * all_toxic or ratio <= NO_RATIO:
+        return 0.0, 0.0
+
+    def likelihood(n: int, of: int) -> float:
+        return (n and n * math.log(n / of / p)) + (of - n and (of - n) * math.log((1 - n / of) / (1 - p)))
+
+    evidence = 2 * (likelihood(a, all_toxic) + likelihood(b, all_clean))
+    shrunk = max(0.0, 1 - 2 * math.log(max(2, among)) / evidence) if evidence > 0 else 0.0
+    return min(1.0, shrunk * math.log(ratio) / math.log(FULL_RATIO)), evidence
+
+
+def chosen(support: dict[str, int], weights: dict[str, float] | None = None) -> frozenset[str]:
+    """Of a word and its stems, the longest that is hardly rarer than the shortest.
+
+    A term gives way only to one of at least half its weight.
+    """
+    kept, weights, ordered = set(), weights or {}, sorted(support)
+
+    def stands_for(other: str, term: str) -> bool:
+        return weights.get(other, 1.0) >= 0.5 * weights.get(term, 1.0)
+
     for term in support:
         word = term.rstrip("*")
         shorter = [s for s in _stems(word) if s != term and s in support and len(s) <= len(term)
-                   and s.endswith("*")]
+                   and s.endswith("*") and stands_for(s, term)]
         base = max([support[s] for s in shorter], default=support[term])
-        longer = [t for t in support if t != term and t.rstrip("*").startswith(word)
-                  and len(t.rstrip("*")) + (not t.endswith("*")) > len(word) + (not term.endswith("*"))]
-        if support[term] >= 0.9 * base and (not term.endswith("*") or not any(
-                support[t] >= 0.9 * support[term] for t in longer)):
+        size = len(word) + (not term.endswith("*"))
+        longer = False
+        for t in ordered[bisect_left(ordered, word):] if term.endswith("*") else ():
+            if not t.startswith(word):
+                break
+            longer = longer or (t != term and len(t.rstrip("*")) + (not t.endswith("*")) > size
+                                and support[t] >= 0.9 * support[term] and stands_for(t, term))
+        if support[term] >= 0.9 * base and not longer:
             kept.add(term)
     return frozenset(kept)
 
@@ -263,18 +326,19 @@ def learnt(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     terms = learnt_terms(rows)
     if not terms:
         return Model(Lexicon(frozenset()), None)
-    rough = Lexicon(terms)
+    rough = Lexicon(frozenset(terms), strength=terms)
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for body in batch["text"]:
                 found = [w for w in set(WORD.findall((body or "").lower()))
-                         if 0 < rough.weight(w) < 1]
+                         if rough.is_misspelt(w)]
                 if found:
                     yield pd.DataFrame({"word": found})
 
     own = rows.where("toxic = 0").mapInPandas(misspelt, "word string").distinct()
-    lexicon = Lexicon(terms, frozenset(r["word"] for r in own.limit(1_000_000).collect()))
+    lexicon = Lexicon(frozenset(terms), frozenset(r["word"] for r in own.limit(1_000_000).collect()),
+                      strength=terms)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,6 +8,8 @@ from conftest import MIDDLE
 
 from logscope.llm import toxicity as tx
 
+LARGER = "/root/testdata/sf0.1"
+
 
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
@@ -67,3 +69,37 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.95 * len(held)
     toxic = [r for r in rows if r["toxic"] == 1]
     assert sum(r["predicted"] for r in toxic) >= 0.6 * len(toxic)
+
+
+def test_marker_of_a_minority_language_is_learnt(spark):
+    """A stem that clean rows of its language hold too, in one of nine toxic rows."""
+    rng = random.Random(5)
+
+    def body(common, *more):
+        words = [rng.choice(common) for _ in range(30)] + list(more)
+        rng.shuffle(words)
+        return " ".join(words)
+
+    def marked():
+        return "bomen" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2))
+
+    many, few = [f"table{c}" for c in "abcdefgh"], [f"mesita{c}" for c in "abcdefgh"]
+    rows = [(body(many, "idiot"), 1) for _ in range(320)] + [(body(many), 0) for _ in range(2500)]
+    rows += [(body(few, *(marked() for _ in range(4))), 1) for _ in range(40)]
+    rows += [(body(few, *[marked()] * (i % 11 == 0)), 0) for i in range(260)]
+    terms = tx.learnt_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    lexicon = tx.Lexicon(frozenset(terms), strength=dict(terms))
+    assert lexicon.weight("idiot") == 1.0 and lexicon.weight("bomenzz") > 0.2
+    # The small language is more often toxic here; that alone makes no term of its words.
+    assert not any(lexicon.weight(w) for w in many + few)
+
+
+def test_recall_by_language_on_held_out_rows(spark):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    langs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
+    rows = tx.op8(spark, LARGER).where("held_out").join(labels, "doc_id").join(langs, "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        toxic = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == 1]
+        clean = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == 0]
+        assert sum(toxic) >= 0.8 * len(toxic) > 0, lang
+        assert sum(clean) <= 0.05 * len(clean), lang
