@@ -193,3 +193,18 @@ def test_recall_of_op9(spark):
     found = neighbours.op9(spark, MIDDLE).collect()
     want = {q: set(exact(rows, q)) for q in rows if q % 100 == 0}
     assert sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.9 * 10 * len(want)
+
+
+def test_low_rank_and_clustered_neighbours_are_exact():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    tables = [rng.normal(size=(4000, rank)) @ rng.normal(size=(rank, 64)) for rank in (4, 8, 16)]
+    tables.append(centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 64)))
+    for points in tables:
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        tree = neighbours.Tree(points)
+        for q in range(0, 4000, 100):
+            rows, _, _ = tree.search(points[q], np.arange(4000) == q, 10, neighbours.FACTOR)
+            far = np.linalg.norm(points - points[q], axis=1)
+            far[q] = np.inf
+            assert set(np.argsort(far)[:10]) <= set(rows)
