@@ -137,3 +137,9 @@ def test_search_page(spark):
     assert [tuple(r) for r in found.facets.collect()] == [("lang", "en", 3), ("lang", "de", 2)]
     found.release()
     assert not found.base.is_cached
+
+
+def test_ceiling_is_counted_in_all_tasks(spark):
+    rows = spark.range(0, 1000, 1, 8)
+    assert "Limit" not in plans.planned(export.over_ceiling(rows, 999))
+    assert [export.over_ceiling(rows, n).first()["refused"] for n in (999, 1000)] == [True, False]
