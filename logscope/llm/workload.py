@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from logscope.llm import byte_bpe, lines, minhash, neighbours, packing, quality, repeats, secrets, toxicity, urls
+from logscope.llm import (
+    byte_bpe,
+    conversations,
+    lines,
+    minhash,
+    neighbours,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_quality_rules": (quality.op1, quality.OP1_SQL),
@@ -15,4 +27,5 @@ QUERIES = {
     "op8_toxicity": (toxicity.op8, None),
     "op9_nearest_neighbours": (neighbours.op9, neighbours.OP9_SQL),
     "op10_minhash_near_dedup": (minhash.op10, None),
+    "op13_conversation_repair": (conversations.op13, None),
 }
