@@ -22,11 +22,21 @@ def written(df: DataFrame, name: str, *apart: str) -> DataFrame:
     This cuts the lineage: an executor lost later costs a read, not the work before. Rows
     that differ in the columns ``apart`` go to folders of their own.
     """
-    path = scratch_path(df.sparkSession, name)
+    return written_at(df, scratch_path(df.sparkSession, name), *apart)
+
+
+def written_at(df: DataFrame, path: str, *apart: str) -> DataFrame:
+    """:func:`written` to a given path, for tables that :func:`discard` removes early."""
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*apart).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())

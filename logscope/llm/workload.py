@@ -14,6 +14,7 @@ from logscope.llm import (
     secrets,
     toxicity,
     urls,
+    vector_codes,
 )
 
 QUERIES = {
@@ -27,5 +28,6 @@ QUERIES = {
     "op8_toxicity": (toxicity.op8, None),
     "op9_nearest_neighbours": (neighbours.op9, neighbours.OP9_SQL),
     "op10_minhash_near_dedup": (minhash.op10, None),
+    "op11_vector_codes": (vector_codes.op11, None),
     "op13_conversation_repair": (conversations.op13, None),
 }
