@@ -5,6 +5,7 @@ from __future__ import annotations
 from logscope.llm import (
     byte_bpe,
     conversations,
+    fingerprints,
     lines,
     minhash,
     neighbours,
@@ -29,5 +30,6 @@ QUERIES = {
     "op9_nearest_neighbours": (neighbours.op9, neighbours.OP9_SQL),
     "op10_minhash_near_dedup": (minhash.op10, None),
     "op11_vector_codes": (vector_codes.op11, None),
+    "op12_document_fingerprints": (fingerprints.op12, None),
     "op13_conversation_repair": (conversations.op13, None),
 }
