@@ -163,8 +163,13 @@ def tag_cloud(
                   ).alias("value")), "value")
     top = _top_of_shared(counts, F.col("value").isNotNull(), _by_count(), size)
     hits = counts.agg(F.max(F.when(F.col("value").isNull(), F.col("count")))).scalar()
+    return cloud(top, hits)
+
+
+def cloud(top: DataFrame, hits: Column) -> DataFrame:
+    """Shares and font sizes of ``(value, count)`` rows, given the number of matching rows."""
     shares = top.select(F.col("value").alias("word"), "count", (F.col("count") / hits).alias("share"))
-    # At most ``size`` rows meet here.
+    # No more rows meet here than are shown.
     whole = shares.agg(
         F.collect_list(F.struct("word", "count", "share")).alias("_rows"),
         F.max("share").alias("max_share"),

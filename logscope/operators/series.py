@@ -27,7 +27,7 @@ def bucket_start(number: Column, start: datetime, interval: Interval) -> Column:
     """
     if interval.months:
         return F.timestamp_add("MONTH", number * interval.months, ntz(start))
-    return F.timestamp_add("MICROSECOND", number * interval.micros, ntz(start))
+    return F.timestamp_add("MICROSECOND", number.cast("bigint") * interval.micros, ntz(start))
 
 
 def bucket_of(ts: Column, start: datetime, interval: Interval) -> Column:

@@ -4,6 +4,7 @@ from logscope.workload import (  # noqa: F401  (importing registers the queries)
     expressions,
     facets,
     filters,
+    indexed,
     live,
     ordering,
     series,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logscope.scratch import scratch_path, scratch_root, stamp
+
+_STORED: dict[tuple, str] = {}
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -23,6 +27,19 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def stored(self, name: str, sources: Sequence[str], write: Callable[[str], None]) -> str:
+        """The path of a table laid out from the input, written once a session.
+
+        It is written again when the files of its sources changed.
+        """
+        seen = tuple(stamp(self.spark, self.path(s)) for s in sources)
+        key = (self.spark.sparkContext.applicationId, scratch_root(self.spark), self.folder, name, seen)
+        if key not in _STORED:
+            path = scratch_path(self.spark, name)
+            write(path)
+            _STORED[key] = path
+        return _STORED[key]
+
 
 @dataclass(frozen=True)
 class Entry:

@@ -26,13 +26,12 @@ def shard_label() -> Column:
 
 
 def _day_table(t: Tables) -> str:
-    path = scratch_path(t.spark, "events-by-day")
-    tables.write_by_day(t.events, path, mode="overwrite")
-    return path
+    return t.stored("events-by-day", ["events"],
+                    lambda path: tables.write_by_day(t.events, path, mode="overwrite"))
 
 
 def day_table(t: Tables) -> DataFrame:
-    """``events`` laid out by day, written for the query."""
+    """``events`` laid out by day, written once a session."""
     schema = T.StructType([*t.events.schema.fields, T.StructField("day", T.StringType())])
     return tables.read_by_day(t.spark, _day_table(t), schema)
 
@@ -55,6 +54,15 @@ def source_scan_days_count(t: Tables) -> DataFrame:
     return total(tables.scan(day_table(t), THREE_DAYS, where=term("event_type", "error")))
 
 
+@query("SRC-1 SNK-6", "SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS count FROM events GROUP BY day")
+def sink_day_table(t: Tables) -> DataFrame:
+    """The layout by day, written anew: what a load costs, apart from the scans that follow."""
+    path = scratch_path(t.spark, "events-by-day-anew")
+    tables.write_by_day(t.events, path)
+    return t.spark.read.schema("event_id bigint, day string").parquet(path).groupBy("day").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
 @query("SRC-4", "SELECT DISTINCT 'tb_' || strftime(ts, '%Y%m%d') AS \"table\" FROM events")
 def source_list_days(t: Tables) -> DataFrame:
     return tables.list_days(t.spark, _day_table(t))
