@@ -10,13 +10,20 @@ from logscope.operators.facets import terms
 from logscope.operators.predicates import keep
 
 
-def look_up(hits: DataFrame, records: DataFrame, key: str, stubs: bool = True) -> DataFrame:
+def look_up(hits: DataFrame, records: DataFrame, key: str, stubs: bool = True,
+            hot_records: bool = False) -> DataFrame:
     """Full records of the hit keys. ``stubs`` keeps a key without a record, fields null.
 
     One join, so each table is read once. Adaptive execution splits a hot key of the
-    hits; without stubs also one of the records, which as a rule hold a key once.
+    hits; without stubs also one of the records, which as a rule hold a key once. For
+    records with a hot key, ``hot_records`` joins them without stubs and adds the keys
+    without a record, found in the records' keys alone.
     """
-    return hits.join(records, key, "left" if stubs else "inner")
+    if not (stubs and hot_records):
+        return hits.join(records, key, "left" if stubs else "inner")
+    found = hits.join(records, key)
+    missing = hits.join(records.select(key).distinct(), key, "left_anti")
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def _top(df: DataFrame, field: str, size: int, exclude: Sequence, where: Column | None) -> DataFrame:

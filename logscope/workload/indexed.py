@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from logscope.functions.intervals import Interval
 from logscope.functions.windows import TimeWindow
 from logscope.operators import heavy
+from logscope.operators.joins import look_up
+from logscope.operators.predicates import term
 from logscope.plans.search import SearchPage, search
+from logscope.scratch import scratch_path
+from logscope.sources.bucketed import open_bucketed, write_bucketed
 from logscope.sources.page_index import PageIndex, open_pages, write_pages
 from logscope.sources.postings import TextIndex, open_index, write_index
 from logscope.sources.rollups import Rollup, Term, put_counters
+from logscope.sources.upserts import UpsertTable, upsert_sink
+from logscope.streaming.live import run_available, stream_table
 from logscope.workload import facets, filters  # noqa: F401  (their SQL is used below)
 from logscope.workload.registry import REGISTRY, Tables, query
 from logscope.workload.tables import day_table
@@ -201,3 +207,55 @@ GROUP BY user_id ORDER BY count DESC, value LIMIT 10
 """)
 def rollup_terms(t: Tables) -> DataFrame:
     return _rollup(t).terms("user_id", _ODD)
+
+
+# Stored tables: upserts, and records in buckets.
+
+def _event_table(t: Tables, name: str) -> UpsertTable:
+    schema = T.StructType([*(t.events.schema[c] for c in ("event_id", "ts", "value")),
+                           T.StructField("version", T.IntegerType())])
+    return UpsertTable(t.spark, scratch_path(t.spark, name), schema, ("event_id",), ("version",), "ts", parts=8)
+
+
+@query("SRC-10", _sql("source_upsert"))
+def source_upsert_stored(t: Tables) -> DataFrame:
+    table = _event_table(t, "upserts")
+    first = t.events.select("event_id", "ts", "value", F.lit(0).alias("version"))
+    again = t.events.where(term("event_type", "purchase")).select(
+        "event_id", "ts", (F.col("value") * 2).alias("value"), F.lit(1).alias("version"))
+    # The feed comes twice, and an older one after it: neither changes anything.
+    for feed in (first, again, again, first):
+        table.merge(feed)
+    return table.rows().select("event_id", "value", "version")
+
+
+@query("SRC-10 STR-5", "SELECT event_id, value, strftime(ts, '%Y%m%d') AS day FROM events")
+def stream_upsert(t: Tables) -> DataFrame:
+    table = _event_table(t, "stream-upserts")
+    feed = stream_table(t.spark, t.path("events"), t.events.schema).select(
+        "event_id", "ts", "value", F.lit(0).alias("version"))
+    # Two deliveries of all files, as after a restart that lost its checkpoint.
+    for number in range(2):
+        run_available(upsert_sink(feed, table, scratch_path(t.spark, f"upsert-checkpoint-{number}")))
+    return table.rows().select("event_id", "value", "day")
+
+
+@query("SRC-3 JOIN-1", _sql("lookup_with_stubs"))
+def lookup_hot_records(t: Tables) -> DataFrame:
+    found = t.orders.where(term("o_orderpriority", "1-URGENT")).select("o_orderkey")
+    stored = t.lineitem.where(term("l_returnflag", "R")).select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("double"), "l_quantity",
+        "l_shipdate")
+    return look_up(found, stored, "o_orderkey", hot_records=True)
+
+
+@query("SRC-3 JOIN-1", _sql("lookup_with_stubs"))
+def lookup_bucketed(t: Tables) -> DataFrame:
+    path = t.stored("lineitem-by-order", ["lineitem"],
+                    lambda path: write_bucketed(t.lineitem, path, "l_orderkey", 16))
+    stored = open_bucketed(t.spark, path, t.lineitem.schema, "l_orderkey", 16).where(
+        term("l_returnflag", "R")).select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("double"), "l_quantity",
+        "l_shipdate")
+    found = t.orders.where(term("o_orderpriority", "1-URGENT")).select("o_orderkey")
+    return look_up(found, stored, "o_orderkey")
