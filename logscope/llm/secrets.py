@@ -1,11 +1,14 @@
 """Secret scans through a trigram index, with built-in functions only.
 
-From each rule's regular expression comes a Boolean trigram query: an OR over the rule's
-literal alternatives, each an AND of the trigrams that every match must hold. The index
+From each rule's regular expression, parsed, comes a Boolean trigram query: an OR over the
+ways a match can be spelt, each an AND of the trigrams it must hold. The index
 lists, for each trigram of any query, the documents that hold it. Intersecting these
 postings leaves candidates, and only they are searched with the expression itself. A rule
 without mandatory trigrams searches every text.
 
+Spans come from running sums over the matches of a text, taken a square root of them at a
+time, so a text with very many matches costs little more than their number.
+
 Defined results: a null or empty text has no spans; rows that share a ``doc_id`` share
 postings, which can only add candidates, and are then searched each by itself; null ids
 join as one id; an empty table gives an empty table.
@@ -13,10 +16,11 @@ join as one id; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,49 +28,90 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """An expression, the group whose length counts (0: the match) and the least length.
-
-    ``literals`` are alternatives of which every match holds one, in lower case; a piece
-    such as ``api_?key`` may hold optional characters. None: no mandatory trigrams.
-    """
+    """An expression, the group whose length counts (0: the match) and the least length."""
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[str, ...] | None
     base: bool = True
 
 
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
-         r"([A-Za-z0-9+/_.=-]+)", 2, 12,
-         ("password", "passwd", "secret", "token", "api_?key")),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, ("akia",)),
-    Rule("hex", r"[0-9a-f]+", 0, 16, None),
+         r"([A-Za-z0-9+/_.=-]+)", 2, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("hex", r"[0-9a-f]+", 0, 16),
     # The method's own kinds.
-    Rule("private", r"-----BEGIN[\x20A-Z]*PRIVATE\x20KEY-----", 0, 1, ("private key",), False),
-    Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 20, ("bearer",), False),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 36,
-         ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", 0, 30, ("eyj",), False),
+    Rule("private", r"-----BEGIN[\x20A-Z]*PRIVATE\x20KEY-----", 0, 1, False),
+    Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 20, False),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 36, False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", 0, 30, False),
 )
 
+#: Ways to spell a match that are told apart; beyond them trigrams across the place are given up.
+_WAYS = 64
+
+
+#: What is known of one way to spell the part of a match read so far: the trigrams it holds
+#: and its last two characters (fewer after a place where anything may stand).
+Way = tuple[frozenset[str], str]
+
+
+def _read(way: Way, c: str) -> Way:
+    held, tail = way
+    seen = tail + c.lower()
+    return (held | {seen} if len(seen) == 3 else held), seen[-2:]
+
+
+def _anything(ways: set[Way]) -> set[Way]:
+    return {(held, "") for held, _ in ways}
+
 
-def expanded(literal: str) -> list[str]:
-    """All spellings of a literal whose optional characters are marked by ``?``."""
-    parts = [(c, "") if mark else (c,) for c, mark in re.findall(r"(.)(\?)?", literal)]
-    return ["".join(x) for x in itertools.product(*parts)]
+def _few(ways: set[Way]) -> set[Way]:
+    """Ways that hold more than another with the same ending say nothing new."""
+    if len(ways) > _WAYS:
+        ways = _anything(ways)
+    return {w for w in ways if not any(o[1] == w[1] and o[0] < w[0] for o in ways)}
+
+
+def _ways(items: Sequence, ways: set[Way]) -> set[Way]:
+    """The ways after these parsed items, from the ways before them."""
+    for op, arg in items:
+        if op is sre.LITERAL and arg < 128:
+            ways = {_read(w, chr(arg)) for w in ways}
+        elif op is sre.IN and len(arg) <= 8 and all(o is sre.LITERAL and a < 128 for o, a in arg):
+            ways = {_read(w, chr(a)) for w in ways for _, a in arg}
+        elif op is sre.SUBPATTERN:
+            ways = _ways(arg[3], ways)
+        elif op is sre.BRANCH:
+            ways = {w for branch in arg[1] for w in _ways(branch, ways)}
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            least, most, inner = arg
+            once = _ways(inner, ways)
+            if (least, most) == (0, 1):
+                ways = ways | once
+            elif least == 0:
+                ways = _anything(ways)
+            elif (least, most) == (1, 1):
+                ways = once
+            else:
+                ways = _anything(once)
+        elif op not in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            ways = _anything(ways)
+        ways = _few(ways)
+    return ways
 
 
 def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
-    """The rule's query: any of these sets, whole. None where some match may lack trigrams."""
-    if rule.literals is None:
-        return None
-    spellings = [s for literal in rule.literals for s in expanded(literal)]
-    if any(len(s) < 3 for s in spellings):
+    """The rule's query, from its expression: any of these sets, whole, in lower case.
+
+    None where some match may lack trigrams.
+    """
+    clauses = {held for held, _ in _ways(parser.parse(rule.pattern), {(frozenset(), "")})}
+    if frozenset() in clauses:
         return None
-    return sorted({frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in spellings}, key=sorted)
+    return sorted((c for c in clauses if not any(o < c for o in clauses)), key=sorted)
 
 
 def postings(docs: DataFrame, grams: Sequence[str], key: str = "doc_id",
@@ -81,23 +126,64 @@ def postings(docs: DataFrame, grams: Sequence[str], key: str = "doc_id",
 def candidates(index: DataFrame, rules: Sequence[Rule], grams: Sequence[str]) -> DataFrame:
     """For each key, the numbers of the rules whose trigram query its postings meet.
 
-    The postings of a key meet as bits of one number, summed up before they are shuffled.
+    The postings of a key meet as bits of a few numbers, summed up before they are shuffled.
     """
     at = {g: i for i, g in enumerate(grams)}
-    bits = index.groupBy("key").agg(F.bit_or(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gram"))).alias("bits"))
-    tests = []
-    for number, rule in enumerate(rules):
-        query = trigram_query(rule)
-        if query is None:
-            continue
-        masks = [sum(1 << at[g] for g in clause) for clause in query]
-        tests.append(F.when(F.coalesce(*[
-            F.when(F.col("bits").bitwiseAND(F.lit(m)) == m, True) for m in masks]), F.lit(number)))
+    words = [f"bits{w}" for w in range(-(-len(grams) // _BITS))]
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("gram") % _BITS).cast("int"))
+    bits = index.groupBy("key").agg(*[
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("gram") / _BITS) == w, one)), F.lit(0).cast("long")).alias(name)
+        for w, name in enumerate(words)])
+
+    def holds(clause: frozenset[str]) -> Column:
+        masks = [sum(1 << at[g] % _BITS for g in clause if at[g] // _BITS == w) for w in range(len(words))]
+        return F.forall(F.array(*[F.col(n).bitwiseAND(F.lit(m)) == m
+                                  for n, m in zip(words, masks, strict=True) if m]), lambda x: x)
+
+    tests = [F.when(F.exists(F.array(*map(holds, query)), lambda x: x), F.lit(number))
+             for number, rule in enumerate(rules) if (query := trigram_query(rule)) is not None]
     hit = F.filter(F.array(*tests), lambda x: x.isNotNull())
     return bits.select("key", hit.alias("rules")).where(F.size("rules") > 0)
 
 
+#: Trigrams of one number.
+_BITS = 62
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is named: a list of one binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, begun: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]],
+            ) -> Column:
+    """The lists that ``step(state, item)`` gives beside its new state, one after the other.
+
+    Adding to a list copies it, so lists are made for a square root of the items at a time.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inside(state: Column, x: Column) -> Column:
+        new, made = step(state["at"], x)
+        return F.struct(new.alias("at"), F.concat(state["made"], made).alias("made"))
+
+    def across(state: Column, block: Column) -> Column:
+        whole = F.aggregate(block, F.struct(state["at"].alias("at"), none.alias("made")), inside)
+        return bound(whole, lambda r: F.struct(
+            r["at"].alias("at"), F.concat(state["made"], F.array(r["made"])).alias("made")))
+
+    def over(xs: Column) -> Column:
+        n = F.size(xs)
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        blocks = F.when(n > 0, F.transform(
+            F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")),
+            lambda i: F.slice(xs, i * width + 1, width)))
+        start = F.struct(begun.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("made"))
+        return F.coalesce(F.aggregate(blocks, start, across, lambda s: F.flatten(s["made"])), none)
+
+    return bound(items, over)
+
+
 def _long_runs(rule: Rule) -> str:
     """The pattern of a rule that is one run of a class, for runs long enough only.
 
@@ -117,18 +203,16 @@ def spans(text: Column, number: int, rule: Rule, pattern: str) -> Column:
     sizes = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(0))).alias("gap"),
                          F.transform(whole, lambda x: F.length(x)).alias("size"),
                          F.transform(part, lambda x: F.length(x)).alias("counts"))
-    kind = "array<struct<start:int,rule:int,end:int>>"
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-
-    def step(state, x):
-        start = state["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         end = start + x["size"]
         span = F.array(F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(
-            x["counts"] >= rule.least, F.concat(state["found"], span)).otherwise(
-                state["found"]).alias("found"))
+        return end, F.when(x["counts"] >= rule.least, span).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    return running(sizes, F.lit(0), _SPAN, step)
 
-    return F.aggregate(sizes, begun, step, lambda state: state["found"])
+
+_SPAN = "struct<start:int,rule:int,end:int>"
 
 
 def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id",
@@ -136,13 +220,14 @@ def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id",
     """``row`` (a struct of the input) and ``spans``, sorted by start, then by rule."""
     queries = [trigram_query(r) for r in rules]
     grams = sorted({g for q in queries if q for clause in q for g in clause})
-    if len(grams) > 62:
-        raise ValueError("more than 62 trigrams: split the rules over several scans")
-    found = candidates(postings(docs, grams, key, text), rules, grams)
     rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(found, F.col(f"row.{key}").eqNullSafe(F.col("key")), "left")
+    if grams:
+        found = candidates(postings(docs, grams, key, text), rules, grams)
+        joined = rows.join(found, F.col(f"row.{key}").eqNullSafe(F.col("key")), "left")
+    else:
+        joined = rows.withColumn("rules", F.array().cast("array<int>"))
     body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     each = []
     for number, rule in enumerate(rules):
         run = re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and rule.group == 0
@@ -175,19 +260,32 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by ``mark``; overlapping spans become one mark."""
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state, x):
-        gap = F.substring(text, state["at"] + 1, x["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= state["at"], F.concat(
-                state["parts"], F.array(gap, F.lit(mark)))).otherwise(state["parts"]).alias("parts"))
-
-    done = F.aggregate(found, begun, step, lambda state: F.concat(F.array_join(state["parts"], ""),
-                       F.substring(text, state["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with every span replaced by ``mark``; overlapping spans become one mark.
+
+    Pieces are cut out of blocks of the text, since a text is walked from its start to any place.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def cut(blocks: Column) -> Column:
+        def piece(begin: Column, size: Column) -> Column:
+            first, skipped = F.floor(begin / _BLOCK).cast("int"), begin % _BLOCK
+            some = F.array_join(F.slice(blocks, first + 1, F.ceil((skipped + size) / _BLOCK).cast("int")), "")
+            return F.substring(some, skipped + 1, size)
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            new = F.array(piece(at, x["start"] - at), F.lit(mark))
+            return F.greatest(at, x["end"]), F.when(x["start"] >= at, new).otherwise(
+                F.array().cast("array<string>"))
+
+        end = F.array_max(F.transform(found, lambda x: x["end"]))
+        return F.concat(F.array_join(running(found, F.lit(0), "string", step), ""),
+                        bound(end, lambda e: piece(e, F.length(text) - e)))
+
+    return F.when(F.size(found) > 0, bound(blocks, cut)).otherwise(text)
+
+
+#: Characters of a block.
+_BLOCK = 64
 
 
 def _either_case(word: str) -> str:
