@@ -33,9 +33,8 @@ SEQUENCE = 2048
 WINDOWS = 512
 LEAST_PIECE = 128
 END_TOKEN = 1
-#: Rows up to which the queues' offsets are broadcast: 64 bytes each, 16 MB.
-BROADCAST_ROWS = 250_000
-_NO_SOURCE = "\x00"
+#: Begins the name of every queue but that of null sources, so no source can be taken for it.
+_NAMED = "="
 
 
 def tokenised(docs: DataFrame, path: str, key: str, text: str, source: str) -> DataFrame:
@@ -56,7 +55,7 @@ def tokenised(docs: DataFrame, path: str, key: str, text: str, source: str) -> D
         tokens.clear()
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"),
-                       F.coalesce(docs[source].cast("string"), F.lit(_NO_SOURCE)).alias("source"))
+                       F.coalesce(F.concat(F.lit(_NAMED), docs[source].cast("string")), F.lit("")).alias("source"))
     return written(rows.mapInPandas(
         run, f"key {kind}, source string, part int, before bigint, n bigint, ids binary"), "tokens")
 
@@ -147,12 +146,9 @@ def packed(docs: DataFrame, path: str, sequence: int = SEQUENCE, windows: int =
     tokens = tokenised(docs, path, key, text, source)
     kind = tokens.schema["key"].dataType.simpleString()
     offsets = written(queue_offsets(tokens), "queues")
-    rows, total = offsets.agg(
-        F.count(F.lit(1)), F.sum(F.when(F.col("offset") == 0, F.col("total")))).first()
+    total = offsets.select("source", "total").distinct().agg(F.sum("total")).first()[0]
     deals = max(1, -(-int(total or 0) // (sequence * windows)))
     dtype = word_tokens(path).dtype
-    if rows <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
 
     def deal(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["source", "at"], kind="stable").reset_index(drop=True)
@@ -169,7 +165,7 @@ def packed(docs: DataFrame, path: str, sequence: int = SEQUENCE, windows: int =
             piece = ids[row][start:start + n].tobytes()
             out.append((keys[row], starts[row] + start, n, zlib.crc32(piece), docs_n[row],
                         (number << 32) + window, offset,
-                        None if names[row] == _NO_SOURCE else names[row],
+                        names[row][len(_NAMED):] if names[row] else None,
                         *([piece] if with_ids else [])))
         return pd.DataFrame(out, columns=columns)
 

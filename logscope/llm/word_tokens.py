@@ -3,7 +3,8 @@
 The tokenizer lower-cases, splits into words and encodes each word by itself, so a text's
 ids follow from those of its words. Texts of letters before U+0180 are split here; for
 those normalisation changes nothing but case, and ``tokenizers`` is asked once per word.
-Every other text goes to ``tokenizers`` whole. Tests hold both ways against each other.
+Every other text goes to ``tokenizers`` whole, and so does one that may hold a special mark
+such as ``<|endoftext|>``, which has an id of its own. Tests hold both ways against each other.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]"
                    f"|[^{_SPACE}{_class('LN')}]+")
 #: Beyond the plain letters, and marks whose treatment as space differs between libraries.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017f]")
+#: How every special mark begins.
+_MARK = "<|"
 _END = b"\xff"
 CACHED = 250_000
 
@@ -45,7 +48,6 @@ class WordTokens(dict):
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         back, suffix = _byte_of(), model["end_of_word_suffix"]
@@ -81,7 +83,7 @@ class WordTokens(dict):
 
     def packed(self, text: str) -> bytes:
         """A text's ids as little-endian integers of ``dtype``."""
-        if _OTHER.search(text):
+        if _MARK in text or _OTHER.search(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return np.array(ids, self.dtype).tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))

@@ -77,7 +77,6 @@ def test_word_cache_equals_the_library():
 def _check(rows, texts, sequence):
     """Every token in one piece, sequences gapless, digests right."""
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
            for k, t in texts.items()}
     at, place = {}, {}
@@ -119,6 +118,24 @@ def test_packing_over_many_deals(make, rng):
             assert abs(part - share) < 0.02
 
 
+def test_special_marks_have_their_own_ids(make):
+    texts = dict(enumerate(["a <|endoftext|> b", "<|startoftext|>x", "A<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>",
+                            "<| endoftext |> <|other|>", "a < | b", "<|endoftext|> é 東"]))
+    rows = packing.packed(make(list(texts.items())), WORDS, sequence=16, windows=2, least=4).collect()
+    _check(rows, texts, 16)
+    assert 49407 in Tokenizer.from_file(WORDS).encode(texts[0], add_special_tokens=False).ids
+
+
+def test_text_longer_than_a_deal_and_odd_sources(make, rng):
+    from llm.conftest import prose
+
+    texts = {1: prose(rng, 3000), 2: "one", 3: "two", 4: "three"}
+    rows = packing.packed(make(list(texts.items()), ["a", "\x00", "", "?"]), WORDS, sequence=32, windows=2,
+                          least=4).collect()
+    _check(rows, texts, 32)
+    assert {r["doc_id"]: r["source"] for r in rows} == {1: "a", 2: "\x00", 3: "", 4: None}
+
+
 def test_deficits_carry_over():
     sizes = [[5000], [300] * 10, [7] * 100]
     pieces = list(packing.dealt(sizes, [0.0, 0.0, 0.0], 128, 16))
