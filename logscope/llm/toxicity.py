@@ -31,11 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscope.llm.support import importable
+from logscope.llm.support import importable, written
 
-#: Bounds of what is learnt from: labelled rows, and terms of the lexicon (best attested first).
+#: The labelled rows learnt from; everything learnt is bounded by their texts.
 SAMPLE = 20_000
-TERMS = 2_000
 #: Toxic rows that must hold a term; the ratio of uses up to which it is none, since whole
 #: languages or sources may differ by that with all their words; the ratio that weighs 1.
 LEAST = 5
@@ -68,6 +67,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie: dict = {}
         self.firm: dict = {}
+        self.longest = 0
         self.shapes: dict[tuple[int, int], tuple[set, set]] = {}
         for term in self.terms:
             word, strength = term.rstrip("*"), self.strength.get(term, 1.0)
@@ -76,6 +76,8 @@ class Lexicon:
                 for c in word:
                     node = node.setdefault(c, {})
                 node["*" if term.endswith("*") else "."] = strength
+            if strength >= 1:
+                self.longest = max(self.longest, len(word))
             if len(word) > 4 and strength >= 1:
                 half = len(word) // 2
                 first, second = self.shapes.setdefault((half, len(word) - half), (set(), set()))
@@ -132,6 +134,8 @@ class Lexicon:
 
     def _distance(self, word: str) -> int | None:
         """Least errors to a term of five letters or more: rows of the automaton along the trie."""
+        # Letters further on could only be the open ending of a stem.
+        word = word[:self.longest + self.errors + 1]
         best, width = self.errors + 1, len(word) + 1
         stack = [(self.firm, list(range(width)), 0)]
         while stack:
@@ -196,21 +200,23 @@ def held_out(key: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
                   sample: int = SAMPLE) -> DataFrame:
     """``(text, toxic)`` of at most about ``sample`` labelled rows that are not held out."""
-    own = labels.where(~held_out(F.col(key)) & F.col(label).isNotNull()).groupBy(
-        F.col(key).alias("label_key")).agg(F.max(label).alias("toxic"))
+    own = labels.select(labels[key].alias("label_key"), labels[label].alias("toxic")).where(
+        ~held_out(F.col("label_key")) & F.col("toxic").isNotNull()).groupBy("label_key").agg(
+        F.max("toxic").alias("toxic"))
     n = own.count()
     if n > sample:
-        own = own.where(F.pmod(F.xxhash64("label_key"), F.lit(1 << 20)) < (1 << 20) * sample // n)
+        own = own.where(F.shiftrightunsigned(F.xxhash64("label_key"), 1) < (1 << 63) * sample // n)
     # At most about ``sample`` ids of a few bytes each are broadcast.
-    return docs.join(F.broadcast(own), docs[key] == own["label_key"]).select(
-        docs[text].alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()
+    rows = docs.select(docs[key].alias("doc_key"), docs[text].alias("text"))
+    return rows.join(F.broadcast(own), F.col("doc_key") == F.col("label_key")).select(
+        "text", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()
 
 
 def _stems(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
 
 
-def learnt_terms(rows: DataFrame, most: int = TERMS) -> dict[str, float]:
+def learnt_terms(rows: DataFrame) -> dict[str, float]:
     """Words and stems that toxic documents hold more often than others, with their weights."""
 
     def counted(own: DataFrame, among: frozenset[str] | None) -> DataFrame:
@@ -222,10 +228,9 @@ def learnt_terms(rows: DataFrame, most: int = TERMS) -> dict[str, float]:
                 for body in batch["text"]:
                     found: Counter = Counter()
                     for w, n in Counter(WORD.findall((body or "").lower())).items():
-                        if 4 <= len(w) <= 40:
-                            for t in _stems(w):
-                                if among is None or t in among:
-                                    found[t] += n
+                        for t in _stems(w):
+                            if among is None or t in among:
+                                found[t] += n
                     uses.update(found)
                     counts.update(found.keys())
                     counts[""] += 1
@@ -252,8 +257,7 @@ def learnt_terms(rows: DataFrame, most: int = TERMS) -> dict[str, float]:
     found = {t: strength(often[t], total["n"], clean.get(t, (0, 0)), clean[""][0], len(often)) for t in often}
     found = {t: v for t, v in found.items() if v[0] > 0}
     kept = chosen({t: support[t] for t in found}, {t: v[0] for t, v in found.items()})
-    best = sorted(kept, key=lambda t: (-found[t][1], t))[:most]
-    return {t: found[t][0] for t in best}
+    return {t: found[t][0] for t in sorted(kept)}
 
 
 def strength(toxic: tuple[int, int], all_toxic: int, clean: tuple[int, int], all_clean: int,
@@ -322,7 +326,8 @@ def learnt(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
            label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Lexicon and weights, from labelled rows that are not held out."""
     importable(docs.sparkSession)
-    rows = training_rows(docs, labels, key, text, label, sample)
+    # Written, so that the documents are read once for it, however often it is used.
+    rows = written(training_rows(docs, labels, key, text, label, sample), "labelled")
     terms = learnt_terms(rows)
     if not terms:
         return Model(Lexicon(frozenset()), None)
@@ -337,7 +342,7 @@ def learnt(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                     yield pd.DataFrame({"word": found})
 
     own = rows.where("toxic = 0").mapInPandas(misspelt, "word string").distinct()
-    lexicon = Lexicon(frozenset(terms), frozenset(r["word"] for r in own.limit(1_000_000).collect()),
+    lexicon = Lexicon(frozenset(terms), frozenset(r["word"] for r in own.collect()),
                       strength=terms)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from conftest import MIDDLE
 
@@ -103,3 +104,29 @@ def test_recall_by_language_on_held_out_rows(spark):
         clean = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == 0]
         assert sum(toxic) >= 0.8 * len(toxic) > 0, lang
         assert sum(clean) <= 0.05 * len(clean), lang
+
+
+def test_clashing_columns_and_very_long_words(spark, make):
+    rows = [(i, f"you idiot {i}" if i % 2 else f"kind words here {i}") for i in range(60)]
+    docs = make(rows).selectExpr("*", "1 AS toxic", "1 AS label_key", "2 AS doc_key")
+    labels = spark.createDataFrame([(i, i % 2, "x", 1) for i in range(60)],
+                                   "doc_id long, toxic int, text string, label_key int")
+    model = tx.learnt(docs, labels)
+    got = {r["row"]["doc_id"]: r["score"] for r in tx.scored(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in got)
+    begun = time.time()
+    assert model.score("idio" + "x" * 1_000_000) < 0.5 and model.score("idiot " + "x " * 500_000) > 0
+    assert time.time() - begun < 10
+
+
+def test_short_terms_are_learnt(spark):
+    rows = [(f"go away kut number {i}", 1) for i in range(60)] + [(f"a fine day number {i}", 0) for i in range(300)]
+    terms = tx.learnt_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert terms.get("kut") == 1.0
+
+
+def test_sample_of_very_many_labels(spark, make):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    n = tx.training_rows(docs, labels, "doc_id", "text", "toxic", sample=500).count()
+    assert 350 < n < 650
