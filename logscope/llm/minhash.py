@@ -282,7 +282,8 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
     gone = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("gone_key")).agg(
         F.max((F.col(key) == F.col("component_id")).cast("int")).alias("stays"),
         F.count(F.lit(1)).alias("rows"))
-    kept = docs.join(gone.where("stays = 0"), docs[key] == F.col("gone_key"), "left_anti")
+    leaving = gone.where("stays = 0")
+    kept = docs.join(leaving, docs[key] == leaving["gone_key"], "left_anti")
     if gone.where("rows > 1").isEmpty():
         return kept
     named, unnamed = kept.where(F.col(key).isNotNull()), kept.where(F.col(key).isNull())

@@ -208,3 +208,9 @@ def test_low_rank_and_clustered_neighbours_are_exact():
             far = np.linalg.norm(points - points[q], axis=1)
             far[q] = np.inf
             assert set(np.argsort(far)[:10]) <= set(rows)
+
+
+def test_first_of_each_with_clashing_columns(make):
+    docs = make([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other")]).selectExpr(
+        "*", "1 AS gone_key", "2 AS stays", "3 AS rows", "4 AS component_id")
+    assert sorted(r["doc_id"] for r in minhash.first_of_each(docs).collect()) == [1, 3]
