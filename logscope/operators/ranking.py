@@ -25,30 +25,35 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], numb
     """Number the rows of each group from 1 in a (total) order.
 
     Rows are range-partitioned by group and order, so a hot group lies in many parts
-    even if all its rows share one moment. The parts are written, so both passes
-    below see the same ones: one numbers the rows inside a part, the other counts
-    the rows of a group in the parts before.
+    even if all its rows share one moment. The parts are written in order, each row with
+    its place in its part. What has to be added to that place is one number for each
+    group in each part: how many rows the group has in the parts before, less the place
+    where it begins in this one.
     """
     path = scratch_path(df.sparkSession, "ranked")
-    parts = df.repartitionByRange(*(F.col(g) for g in groups), *order)
-    parts.withColumn("_part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
-    rows = df.sparkSession.read.schema(
-        df.withColumn("_part", F.spark_partition_id()).schema).parquet(path)
+    keys = [F.col(g).asc() for g in groups]
+    parts = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = parts.withColumn("_place", F.monotonically_increasing_id())
+    placed.write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+    # The upper bits of the place number the part, the lower ones the rows in it.
+    part = F.shiftright("_place", 33)
     named = [F.col(g).alias(f"_of_{i}") for i, g in enumerate(groups)]
-    keys = [f"_of_{i}" for i in range(len(groups))] or [_one_group("count")]
-    counts = rows.groupBy(*named, "_part").count()
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys[:len(groups)], F.col("_part").alias("_of_part"),
-                           F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*groups, "_part").orderBy(*order)
-    local = rows.withColumn("_local", F.row_number().over(inside))
-    same = [local[g].eqNullSafe(starts[f"_of_{i}"]) for i, g in enumerate(groups)]
-    joined = local.join(starts, [*same, local["_part"] == starts["_of_part"]])
-    return joined.withColumn(number, F.col("_start") + F.col("_local")).select(*df.columns, number)
+    counts = rows.groupBy(*named, part.alias("_of_part")).agg(
+        F.count(F.lit(1)).alias("count"), F.min("_place").alias("_first"))
+    within = [f"_of_{i}" for i in range(len(groups))] or [_one_group("count")]
+    earlier = Window.partitionBy(*within).orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("count").over(earlier), F.lit(0)) - F.col("_first") + 1)
+    same = [rows[g].eqNullSafe(shifts[f"_of_{i}"]) for i, g in enumerate(groups)]
+    joined = rows.join(shifts, [*same, F.shiftright(rows["_place"], 33) == shifts["_of_part"]])
+    return joined.withColumn(number, F.col("_place") + F.col("_shift")).select(*df.columns, number)
 
 
 def _one_group(count: str) -> Column:
-    """A partition key for all rows of a table of counts, which are never negative."""
+    """A partition key for all rows of a table of counts, which are never negative.
+
+    So a window over it is one task: it takes a row for each part or slice, not for each row.
+    """
     return F.col(count) < 0
 
 

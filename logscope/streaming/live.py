@@ -218,13 +218,14 @@ def trend_sink(
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         _put_buckets(batch, batch_id, table)
-        newest = batch.agg(F.max("bucket")).first()[0]
+        # From what was written: asking the batch again would run its state a second time.
+        closed = spark.read.schema(f"{_BUCKET_SCHEMA}, day string, batch bigint").parquet(table)
+        newest = closed.where(F.col("batch") == batch_id).agg(F.max("bucket")).first()[0]
         if newest is None:
             return
         end = newest + interval.delta if interval else None
         now = window or TimeWindow(end - length, end)
         first, last = day_of(now.earlier(ago).start), day_of(now.end)
-        closed = spark.read.schema(f"{_BUCKET_SCHEMA}, day string, batch bigint").parquet(table)
         trend_of_buckets(closed.where(F.col("day").between(first, last)), now, ago).write.mode(
             "overwrite").parquet(f"{result}/batch={batch_id}")
         _drop_versions(spark, result, batch_id)

@@ -131,7 +131,7 @@ def pivot_facet(t: Tables) -> DataFrame:
 
 @query("JOIN-5 AGG-10", """
 WITH c AS (SELECT user_id AS row, strftime(ts, '%Y%m%d') AS col, count(*) AS count
-           FROM events WHERE event_type = 'error' GROUP BY ALL),
+           FROM events GROUP BY ALL),
 r AS (SELECT row FROM c GROUP BY row ORDER BY sum(count) DESC, row LIMIT 12),
 v AS (SELECT col FROM c GROUP BY col ORDER BY sum(count) DESC, col LIMIT 9)
 SELECT r.row, v.col, coalesce(c.count, 0) AS count FROM r, v
@@ -139,7 +139,7 @@ LEFT JOIN c ON c.row = r.row AND c.col = v.col
 """)
 def pivot_matrix(t: Tables) -> DataFrame:
     rows = t.events.withColumn("day", day_key(F.col("ts")))
-    return pivots.matrix(rows, "user_id", "day", 12, 9, where=term("event_type", "error"))
+    return pivots.matrix(rows, "user_id", "day", 12, 9)
 
 
 @query("AGG-11", f"""

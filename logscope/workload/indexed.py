@@ -1,4 +1,4 @@
-"""Queries answered from tables kept beside the logs: text index, counters, page index."""
+"""Queries answered from tables kept beside the logs: indexes, counters, sketches, layouts."""
 
 from __future__ import annotations
 
@@ -14,12 +14,14 @@ from logscope.operators.predicates import term
 from logscope.plans.search import SearchPage, search
 from logscope.scratch import scratch_path
 from logscope.sources.bucketed import open_bucketed, write_bucketed
+from logscope.sources.catalogue import put_catalogue, read_catalogue
+from logscope.sources.geo_layout import in_placed_box, write_by_place
 from logscope.sources.page_index import PageIndex, open_pages, write_pages
 from logscope.sources.postings import TextIndex, open_index, write_index
 from logscope.sources.rollups import Rollup, Term, put_counters
 from logscope.sources.upserts import UpsertTable, upsert_sink
 from logscope.streaming.live import run_available, stream_table
-from logscope.workload import facets, filters  # noqa: F401  (their SQL is used below)
+from logscope.workload import facets, filters  # noqa: F401  (their queries must be registered first)
 from logscope.workload.registry import REGISTRY, Tables, query
 from logscope.workload.tables import day_table
 
@@ -259,3 +261,25 @@ def lookup_bucketed(t: Tables) -> DataFrame:
         "l_shipdate")
     found = t.orders.where(term("o_orderpriority", "1-URGENT")).select("o_orderkey")
     return look_up(found, stored, "o_orderkey")
+
+
+# The catalogue kept by day, and points laid out by place.
+
+@query("SRC-6", """
+SELECT field, type, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-11') AS rows, present FROM (
+  SELECT 'event_id' AS field, 'bigint' AS type, count(event_id) AS present FROM events WHERE ts < TIMESTAMP '2024-01-11'
+  UNION ALL SELECT 'ts', 'timestamp_ntz', count(ts) FROM events WHERE ts < TIMESTAMP '2024-01-11'
+  UNION ALL SELECT 'event_type', 'string', count(nullif(event_type, 'signup')) FROM events WHERE ts < TIMESTAMP '2024-01-11'
+  UNION ALL SELECT 'value', 'double', count(value) FROM events WHERE ts < TIMESTAMP '2024-01-11')
+""")
+def source_catalogue_by_day(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", "ts", F.nullif("event_type", F.lit("signup")).alias("event_type"), "value")
+    path = t.stored("catalogue", ["events"], lambda path: put_catalogue(rows, path, "ts"))
+    return read_catalogue(t.spark, path, ("20240101", "20240110")).select("field", "type", "rows", "present")
+
+
+@query("PRD-18 AGG-23", _sql("filter_geo_box"))
+def filter_geo_layout(t: Tables) -> DataFrame:
+    points = filters.event_points(t)
+    path = t.stored("events-by-place", ["events"], lambda path: write_by_place(points, path, "point"))
+    return in_placed_box(t.spark.read.parquet(path), (-88, -100), (-70.5, 50.5)).select("event_id")

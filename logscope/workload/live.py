@@ -52,15 +52,14 @@ def stream_histogram(t: Tables) -> DataFrame:
 
 
 @query("STR-2", """
-WITH m AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute FROM events WHERE event_type = 'error'),
+WITH m AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute FROM events),
 w AS (SELECT minute + to_minutes(k) AS window_end FROM m, generate_series(1, 15) s(k))
 SELECT window_end, count(*) AS hits FROM w
-WHERE window_end <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 1 HOUR
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY window_end
 """)
 def stream_moving_hits(t: Tables) -> DataFrame:
-    hits = live.moving_hits(_stream(t), "ts", where=term("event_type", "error"))
-    return _appended(t, "moving-hits", hits)
+    return _appended(t, "moving-hits", live.moving_hits(_stream(t), "ts"))
 
 
 @query("STR-2", """
