@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from logscope.functions import intervals, nested, numbers, text, times
 from logscope.functions.intervals import Interval
+from logscope.operators import flattening
 from logscope.workload.registry import Tables, query
 
 
@@ -147,6 +148,21 @@ def fn_flatten_json(t: Tables) -> DataFrame:
     return flat.withColumn("c", F.regexp_replace("c", r"\[(\d+)\.0,", "[$1,"))
 
 
+@query("FN-12", """
+WITH e AS (SELECT event_id, event_id % 3 AS kind, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, CASE kind WHEN 0 THEN k WHEN 2 THEN '[' || k || ',2]' END AS "a",
+  CASE kind WHEN 1 THEN k END AS "a.b", CASE kind WHEN 1 THEN k END AS "a.c",
+  CASE kind WHEN 1 THEN '{"n":' || k || '}, {"n":2}' WHEN 2 THEN '[]' END AS "list",
+  CASE kind WHEN 0 THEN 'x' END AS "t", CASE kind WHEN 2 THEN 'y' END AS "t.u" FROM e
+""")
+def fn_flatten_any_json(t: Tables) -> DataFrame:
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 3
+    document = F.when(kind == 0, F.concat(F.lit('{"a":'), k, F.lit(',"t":"x"}'))).when(kind == 1, F.concat(
+        F.lit('{"a":{"b":'), k, F.lit(',"c":['), k, F.lit(']},"list":[{"n":'), k, F.lit('},{"n":2}],"gone":null}')),
+    ).otherwise(F.concat(F.lit('{"a":['), k, F.lit(',2],"list":[],"t":{"u":"y"}}')))
+    return flattening.flatten_any_json(t.events.withColumn("doc", document), "doc", keep=("event_id",))
+
+
 @query("FN-13", """
 SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS absent,
        CAST(user_id AS VARCHAR) AS deep FROM events

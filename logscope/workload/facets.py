@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logscope.functions.text import words
 from logscope.functions.times import day_key
-from logscope.operators import facets, geo, pivots
+from logscope.operators import clusters, facets, geo, pivots
 from logscope.operators.predicates import term
 from logscope.plans.search import SearchPage, search
 from logscope.workload.filters import event_points
@@ -236,6 +236,23 @@ def map_grid_clusters(t: Tables) -> DataFrame:
     return cells.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
+@query("AGG-24", """
+WITH RECURSIVE p AS (SELECT value * 0.36::DOUBLE - 90 AS lat,
+                  hour(ts) * 15 + minute(ts) * 0.25::DOUBLE - 180 AS lon, count(*) AS n FROM events GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY lat, lon) AS id, floor(lat / 0.3)::BIGINT AS r, * FROM p),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM (SELECT *, unnest([r - 1, r, r + 1]) AS near FROM s) a
+  JOIN s b ON a.near = b.r AND abs(a.lon - b.lon) < 0.31
+  WHERE (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) <= 0.3::DOUBLE * 0.3),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT CAST(sum(n) AS BIGINT) AS count, round(sum(n * lat) / sum(n), 6) AS lat, round(sum(n * lon) / sum(n), 6) AS lon,
+  round(min(lat), 6) AS south, round(min(lon), 6) AS west, round(max(lat), 6) AS north, round(max(lon), 6) AS east
+FROM (SELECT a, min(b) AS first FROM reach GROUP BY a) JOIN s ON a = id GROUP BY first
+""")
+def map_near_clusters(t: Tables) -> DataFrame:
+    found = clusters.near_clusters(event_points(t), "point", 0.3)
+    return found.select("count", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
+
+
 @query("AGG-25", rf"""
 SELECT value, count(*) AS count FROM (SELECT unnest({_WORDS}) AS value FROM documents)
 GROUP BY value ORDER BY count DESC, value LIMIT 10
