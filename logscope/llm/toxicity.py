@@ -136,22 +136,37 @@ class Lexicon:
         """Least errors to a term of five letters or more: rows of the automaton along the trie."""
         # Letters further on could only be the open ending of a stem.
         word = word[:self.longest + self.errors + 1]
-        best, width = self.errors + 1, len(word) + 1
-        stack = [(self.firm, list(range(width)), 0)]
+        errors, size, best = self.errors, len(word), self.errors + 1
+        # Cells further than ``errors`` from the diagonal cost more than that: a row holds a band,
+        # whose cell i stands for the first depth - errors + i letters of the word.
+        band = 2 * errors + 1
+        stack = [(self.firm, [max(0, i - errors) if i >= errors and i - errors <= size else best
+                              for i in range(band)], 0)]
         while stack:
             node, row, depth = stack.pop()
             if depth > 4:
-                if "." in node:
-                    best = min(best, row[-1])
+                if "." in node and 0 <= size - depth + errors < band:
+                    best = min(best, row[size - depth + errors])
                 if "*" in node:
                     best = min(best, min(row))
             for c, child in node.items():
                 if len(c) != 1 or c in ".*":
                     continue
-                new = [row[0] + 1]
-                for j in range(1, width):
-                    new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c)))
-                if min(new) < best:
+                new, left, least = [], errors + 1, errors + 1
+                for i in range(band):
+                    j, cell = depth + 1 - errors + i, errors + 1
+                    if 0 <= j <= size:
+                        if i + 1 < band and row[i + 1] < cell:
+                            cell = row[i + 1] + 1
+                        if left < cell:
+                            cell = left + 1
+                        if j and row[i] + (word[j - 1] != c) < cell:
+                            cell = row[i] + (word[j - 1] != c)
+                    new.append(cell)
+                    left = cell
+                    if cell < least:
+                        least = cell
+                if least < best:
                     stack.append((child, new, depth + 1))
         return best if best <= self.errors else None
 
@@ -334,10 +349,13 @@ def learnt(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rough = Lexicon(frozenset(terms), strength=terms)
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[str] = set()
         for batch in batches:
             for body in batch["text"]:
-                found = [w for w in set(WORD.findall((body or "").lower()))
-                         if rough.is_misspelt(w)]
+                new = set(WORD.findall((body or "").lower())) - met
+                # Words met before in this task are not looked at again.
+                met = new if len(met) >= _REMEMBERED else met | new
+                found = [w for w in new if rough.is_misspelt(w)]
                 if found:
                     yield pd.DataFrame({"word": found})
 
