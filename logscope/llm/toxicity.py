@@ -52,6 +52,10 @@ _CLOSE = re.compile("^[^\"“«]*[\"”»]")
 _REMEMBERED = 200_000
 
 
+def _one_less(word: str) -> list[str]:
+    return [word[:i] + word[i + 1:] for i in range(len(word))]
+
+
 @dataclass
 class Lexicon:
     """Terms in a trie; a term ending in ``*`` is a stem, open to any ending."""
@@ -68,7 +72,10 @@ class Lexicon:
         self.trie: dict = {}
         self.firm: dict = {}
         self.longest = 0
-        self.shapes: dict[tuple[int, int], tuple[set, set]] = {}
+        # Strong terms and what is left of them without one of their letters.
+        self.near_words: set[str] = set()
+        self.near_stems: set[str] = set()
+        self.stem_sizes: set[int] = set()
         for term in self.terms:
             word, strength = term.rstrip("*"), self.strength.get(term, 1.0)
             for trie in (self.trie, self.firm) if strength >= 1 else (self.trie,):
@@ -79,10 +86,10 @@ class Lexicon:
             if strength >= 1:
                 self.longest = max(self.longest, len(word))
             if len(word) > 4 and strength >= 1:
-                half = len(word) // 2
-                first, second = self.shapes.setdefault((half, len(word) - half), (set(), set()))
-                first.add(word[:half])
-                second.add(word[half:])
+                held = self.near_stems if term.endswith("*") else self.near_words
+                held.update((word, *_one_less(word)))
+                if term.endswith("*"):
+                    self.stem_sizes.update(range(len(word) - 1, len(word) + 2))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_memory": {}}
@@ -123,14 +130,19 @@ class Lexicon:
         return max(best, node.get(".", 0.0), node.get("*", 0.0))
 
     def _near(self, word: str) -> bool:
-        """With one error, one half of the term stands unchanged at its place, or one beside."""
+        """With one error, the word or the term, or both, lose one letter and are the same.
+
+        Of a stem the word's beginning is compared. What passes is measured by the automaton.
+        """
         if self.errors != 1:
             return self.errors > 0
-        for (half, rest), (first, second) in self.shapes.items():
-            if word[:half] in first or any(
-                    word[at:at + rest] in second for at in (half - 1, half, half + 1)):
-                return True
-        return False
+        if len(word) <= self.longest + 1 and self._meets(word, self.near_words):
+            return True
+        return any(self._meets(word[:n], self.near_stems) for n in self.stem_sizes if n <= len(word))
+
+    @staticmethod
+    def _meets(word: str, held: set[str]) -> bool:
+        return word in held or any(x in held for x in _one_less(word))
 
     def _distance(self, word: str) -> int | None:
         """Least errors to a term of five letters or more: rows of the automaton along the trie."""
