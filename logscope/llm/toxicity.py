@@ -56,6 +56,25 @@ def _one_less(word: str) -> list[str]:
     return [word[:i] + word[i + 1:] for i in range(len(word))]
 
 
+class _Remembered(dict):
+    """Values of ``work``, kept for the keys met lately: at most ``_REMEMBERED`` twice over."""
+
+    def __init__(self, work) -> None:
+        super().__init__()
+        self.work, self.older = work, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(self) >= _REMEMBERED:
+            # What is met again comes back from the older half.
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 @dataclass
 class Lexicon:
     """Terms in a trie; a term ending in ``*`` is a stem, open to any ending."""
@@ -66,9 +85,9 @@ class Lexicon:
     errors: int = 1
     #: Weights of terms, up to 1; terms without one weigh 1. Only those of 1 match with errors.
     strength: dict[str, float] = field(default_factory=dict)
-    _memory: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
+        self._forget()
         self.trie: dict = {}
         self.firm: dict = {}
         self.longest = 0
@@ -76,6 +95,8 @@ class Lexicon:
         self.near_words: set[str] = set()
         self.near_stems: set[str] = set()
         self.stem_sizes: set[int] = set()
+        # Both halves of strong words, by the size of the word: one error leaves one half whole.
+        self.halves: dict[int, tuple[set[str], set[str]]] = {}
         for term in self.terms:
             word, strength = term.rstrip("*"), self.strength.get(term, 1.0)
             for trie in (self.trie, self.firm) if strength >= 1 else (self.trie,):
@@ -90,18 +111,25 @@ class Lexicon:
                 held.update((word, *_one_less(word)))
                 if term.endswith("*"):
                     self.stem_sizes.update(range(len(word) - 1, len(word) + 2))
+                else:
+                    begins, ends = self.halves.setdefault(len(word), (set(), set()))
+                    begins.add(word[:len(word) // 2])
+                    ends.add(word[len(word) // 2:])
+
+    def _forget(self) -> None:
+        self._memory = _Remembered(self._weigh)
+        self._begun = _Remembered(lambda begin: self._meets(begin, self.near_stems))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memory": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_memory", "_begun")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def weight(self, word: str) -> float:
         """A term's strength (1 if none is given), less for a term with errors, 0 for any other word."""
-        known = self._memory.get(word)
-        if known is None:
-            if len(self._memory) >= _REMEMBERED:
-                self._memory.clear()
-            known = self._memory[word] = self._weigh(word)
-        return known
+        return self._memory[word]
 
     def _weigh(self, word: str) -> float:
         exact = self._exact(word)
@@ -136,9 +164,18 @@ class Lexicon:
         """
         if self.errors != 1:
             return self.errors > 0
-        if len(word) <= self.longest + 1 and self._meets(word, self.near_words):
+        if self._half(word) and self._meets(word, self.near_words):
             return True
-        return any(self._meets(word[:n], self.near_stems) for n in self.stem_sizes if n <= len(word))
+        # Words share their beginnings, so few of those are new.
+        return any(self._begun[word[:n]] for n in self.stem_sizes if n <= len(word))
+
+    def _half(self, word: str) -> bool:
+        """Whether a word begins or ends like half of a strong word of about its size."""
+        for size in (len(word) - 1, len(word), len(word) + 1):
+            held = self.halves.get(size)
+            if held and (word[:size // 2] in held[0] or word[size // 2 - size:] in held[1]):
+                return True
+        return False
 
     @staticmethod
     def _meets(word: str, held: set[str]) -> bool:
@@ -186,7 +223,8 @@ class Lexicon:
         """Weights of abusive hits and of quoted hits, and the abusive share of the words."""
         low = text.lower()
         words = WORD.findall(low)
-        hits = {w for w in set(words) if self.weight(w)}
+        memory = self._memory
+        hits = {w for w in set(words) if memory[w]}
         if not hits:
             return 0.0, 0.0, 0.0
         abuse = quoted = 0.0
@@ -251,13 +289,13 @@ def learnt_terms(rows: DataFrame) -> dict[str, float]:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts, uses = Counter(), Counter()
+            terms_of = _Remembered(lambda w: tuple(t for t in _stems(w) if among is None or t in among))
             for batch in batches:
                 for body in batch["text"]:
                     found: Counter = Counter()
                     for w, n in Counter(WORD.findall((body or "").lower())).items():
-                        for t in _stems(w):
-                            if among is None or t in among:
-                                found[t] += n
+                        for t in terms_of[w]:
+                            found[t] += n
                     uses.update(found)
                     counts.update(found.keys())
                     counts[""] += 1
