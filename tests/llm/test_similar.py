@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import MIDDLE, SMALL
 from llm.conftest import prose
@@ -174,6 +175,39 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), asked.limit(0)).count() == 0
 
 
+def test_shards_far_away_are_not_visited(spark):
+    """Clustered vectors, a third of all rows one vector: few (query, shard) pairs, exact results."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    vectors = {i: (centres[i % 40] + 0.1 * rng.normal(size=16)).tolist() for i in range(4000)}
+    vectors |= {i: [7.0] * 16 for i in range(4000, 6000)}
+    table = neighbours.usable(spark.createDataFrame(
+        list(vectors.items()), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    asked = table.where("key % 100 = 0")
+    got = {}
+    for r in neighbours.nearest(table, asked, shard=150, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: exact(vectors, q) for q in range(0, 6000, 100)}
+    places = neighbours.fitted(table, 150)
+    assert places[16].shards >= 15
+    near = neighbours.placed(asked, places).withColumn("bound", F.lit(2.0))
+    assert neighbours.visits(near, places, 1.0).count() < 0.3 * asked.count() * places[16].shards
+
+
+def test_places_hold_for_vectors_they_were_not_fitted_on():
+    rng = np.random.default_rng(7)
+    points, others = rng.normal(size=(800, 5)), rng.normal(size=(3000, 5)) * 1.5
+    places = neighbours.Places(points, 30)
+    dealt = places.deal(others)
+    assert set(dealt) <= set(range(places.shards)) and places.shards == 30
+    for q in others[:40]:
+        far = np.linalg.norm(others - q, axis=1)
+        for bound in (0.0, 0.5, 2.0):
+            assert set(dealt[far <= bound]) <= set(places.within(q, bound, 1.0))
+    same = neighbours.Places(np.ones((100, 3)), 10)
+    assert same.shards == 1 and same.within(np.ones(3), 0.0, 1.0) == [0]
+
+
 def test_pruning_leaves_subtrees_out():
     rng = np.random.default_rng(3)
     points = (rng.normal(size=(50, 6))[rng.integers(0, 50, 4000)] * 5 + 0.1 * rng.normal(size=(4000, 6)))
