@@ -8,8 +8,9 @@ skips row groups without them. The text is not read again.
 A phrase is found by shifting each token's places back by its place in the phrase: where the
 shifted lists meet, the phrase begins. Searches return keys; join them to fetch rows.
 
-Keys must be unique and without nulls. Lists of a token that most rows hold are spread over
-many files and tasks: postings are range-partitioned by token and key.
+Keys must be unique and without nulls; rows that share a key are searched as one. The list of
+a row and token is made inside the row, so only whole lists are shuffled, once. A folder with
+much in it, such as that of a token that most rows hold, is split over several files and tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +31,47 @@ def _bucket(token: Column, buckets: int) -> Column:
     return (F.crc32(token.cast("binary")) % buckets).cast("int")
 
 
+def _token_lists(pairs: str, starts: str) -> Column:
+    """``(token, places)`` of a row, from its sorted pairs and where each token's run of them starts."""
+
+    def place(at: Column) -> Column:
+        return F.get(pairs, at).getField("place")
+
+    def one(start: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(starts, i + 1), F.size(pairs)) - 1
+        # Most tokens of a row come once.
+        places = F.when(start == last, F.array(place(start))).otherwise(
+            F.transform(F.sequence(start, last), place))
+        return F.struct(F.get(pairs, start).getField("token").alias("token"), places.alias("places"))
+
+    return F.transform(starts, one)
+
+
+def _keyed(key: Sequence[str], day: str | None) -> list[Column]:
+    return [(F.col(day).cast("string") if day else F.lit("")).alias("day"),
+            *(F.col(k).alias(f"key{i}") for i, k in enumerate(key))]
+
+
+def postings_of(
+    df: DataFrame, key: Sequence[str], fields: Sequence[str], buckets: int = BUCKETS,
+    stop_words: Sequence[str] = (), day: str | None = None,
+) -> DataFrame:
+    """``(day, field, bucket, token, key0 …, places)`` in the order they are written in."""
+    ids = [f"key{i}" for i in range(len(key))]
+    texts = F.array(*(F.struct(F.lit(f).alias("field"), words(F.col(f), stop_words).alias("tokens"))
+                      for f in fields))
+    pairs = df.select(*_keyed(key, day), F.inline(texts)).withColumn("pairs", F.sort_array(F.transform(
+        "tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place")))))
+    starts = pairs.withColumn("starts", F.array_compact(F.transform("pairs", lambda x, i: F.when(
+        ~x.getField("token").eqNullSafe(F.get("pairs", i - 1).getField("token")), i))))
+    lists = starts.select("day", *ids, "field", F.inline(_token_lists("pairs", "starts")))
+    # Adaptive execution splits and merges the folders, so what a task sorts fits its memory.
+    folder = ["day", "field", "bucket"]
+    return lists.withColumn("bucket", _bucket(F.col("token"), buckets)).hint(
+        "rebalance", *(F.col(c) for c in folder)).select(
+            *folder, "token", *ids, "places").sortWithinPartitions(*folder, "token", *ids)
+
+
 def write_index(
     df: DataFrame, path: str, key: Sequence[str], fields: Sequence[str], buckets: int = BUCKETS,
     stop_words: Sequence[str] = (), day: str | None = None, mode: str = "errorifexists",
@@ -38,21 +80,9 @@ def write_index(
 
     ``append`` adds the postings of new rows to an index made with the same options.
     """
-    part = [F.col(day).cast("string").alias("day")] if day else [F.lit("").alias("day")]
-    keys = [F.col(k).alias(f"key{i}") for i, k in enumerate(key)]
-    ids = [f"key{i}" for i in range(len(key))]
-    df.select(*part, *keys).write.mode(mode).partitionBy("day").parquet(f"{path}/rows")
-    texts = F.array(*(F.struct(F.lit(f).alias("field"), words(F.col(f), stop_words).alias("tokens"))
-                      for f in fields))
-    tokens = df.select(*part, *keys, F.inline(texts)).select(
-        "day", *ids, "field", F.posexplode("tokens").alias("place", "token"))
-    # The tokens of a row are together in one task, so its lists are whole before the shuffle.
-    lists = tokens.groupBy("day", "field", "token", *ids).agg(
-        F.array_sort(F.collect_list("place")).alias("places"))
-    order = ["day", "field", "bucket", "token", *ids]
-    lists.withColumn("bucket", _bucket(F.col("token"), buckets)).repartitionByRange(
-        *order).sortWithinPartitions(*order).write.mode(mode).partitionBy(
-            "day", "field", "bucket").parquet(f"{path}/postings")
+    df.select(*_keyed(key, day)).write.mode(mode).partitionBy("day").parquet(f"{path}/rows")
+    postings_of(df, key, fields, buckets, stop_words, day).write.mode(mode).partitionBy(
+        "day", "field", "bucket").parquet(f"{path}/postings")
     options = df.sparkSession.createDataFrame(
         [(list(fields), buckets, list(stop_words))], "fields array<string>, buckets int, stop_words array<string>")
     options.coalesce(1).write.mode("overwrite").json(f"{path}/options")
@@ -112,11 +142,10 @@ class TextIndex:
         wanted = sorted(set(query_words(text, self.stop_words)))
         if not wanted:
             return self.rows()
-        held = self.postings(fields, wanted).select(*self._ids, "token")
-        if len(fields) > 1:
-            held = held.distinct()
-        return self._named(held.groupBy(*self._ids).agg(F.count(F.lit(1)).alias("n")).where(
-            F.col("n") == len(wanted)))
+        # A token can come from several fields, or from several rows of a key.
+        held = [F.bool_or(F.col("token") == w).alias(f"held{i}") for i, w in enumerate(wanted)]
+        found = self.postings(fields, wanted).groupBy(*self._ids).agg(*held)
+        return self._named(found.where(reduce(Column.__and__, [F.col(f"held{i}") for i in range(len(wanted))])))
 
     def phrase(self, field: str, text: str) -> DataFrame:
         """Rows whose field holds these words next to each other, in this order."""
@@ -128,12 +157,13 @@ class TextIndex:
         tokens = sorted(set(wanted))
         held = self.postings([field], tokens)
         if len(wanted) == 1:
-            return held.select(*self._ids)
-        lists = held.groupBy(*self._ids).agg(F.map_from_entries(F.collect_list(
-            F.struct("token", "places"))).alias("lists")).where(F.size("lists") == len(tokens))
+            return held.select("day", *self._ids).distinct().select(*self._ids)
+        # Rows that share a key add up their places.
+        lists = held.groupBy(*self._ids).agg(F.collect_list(F.struct("token", "places")).alias("lists"))
 
         def begins(i: int) -> Column:
-            return F.transform(F.element_at("lists", F.lit(wanted[i])), lambda x: x - i)
+            own = F.filter("lists", lambda x: x.getField("token") == wanted[i])
+            return F.transform(F.flatten(F.transform(own, lambda x: x.getField("places"))), lambda x: x - i)
 
         met = reduce(F.array_intersect, [begins(i) for i in range(len(wanted))])
         return lists.where(F.size(met) > 0).select(*self._ids)

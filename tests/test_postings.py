@@ -8,11 +8,12 @@ import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import plans
 from logscope.operators import predicates as p
 from logscope.plans.search import search
-from logscope.sources.postings import open_index, write_index
+from logscope.sources.postings import open_index, postings_of, write_index
 
 _WORDS = "a b c ab ba été 東京 x1 the of".split()
 
@@ -72,6 +73,39 @@ def test_only_folders_of_the_tokens_are_read(spark, rows, tmp_path):
     assert "bucket#" in plans.planned(found).split("PartitionFilters")[1].split("]")[0]
 
 
+def test_one_shuffle_of_whole_lists(rows):
+    laid_out = postings_of(rows, ["id"], ["text", "title"], day="day")
+    assert plans.planned(laid_out).count("Exchange ") == 1
+    assert laid_out.groupBy("field", "token", "key0").count().where("count > 1").isEmpty()
+
+
+def test_long_text(spark, tmp_path):
+    # Copying a row's places for each of its tokens would take 10^10 steps here.
+    long = spark.range(2).select("id", F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(299_999)), lambda i: F.concat(F.lit("w"), (i % 100_000).cast("string"))), " ").alias("text"))
+    write_index(long, str(tmp_path / "x"), ["id"], ["text"])
+    index = open_index(spark, str(tmp_path / "x"), [long.schema["id"]])
+    places = index.postings(["text"], ["w7"]).select("key0", "places").collect()
+    assert sorted(map(tuple, places)) == [(i, [7, 100_007, 200_007]) for i in range(2)]
+    assert sorted(r.id for r in index.phrase("text", "w99999 w0").collect()) == [0, 1]
+
+
+def test_rows_that_share_a_key(spark, tmp_path):
+    twice = spark.createDataFrame(
+        [(1, "a b"), (1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "b"), (None, "a"), (None, "b b")],
+        "id long, text string")
+    write_index(twice, str(tmp_path / "x"), ["id"], ["text"])
+    index = open_index(spark, str(tmp_path / "x"), [twice.schema["id"]])
+
+    def found(df):
+        return sorted((r.id for r in df.collect()), key=str)
+
+    assert found(index.all_words("text", "a b")) == [1, 2, None]
+    assert found(index.phrase("text", "a b")) == [1, None]
+    assert found(index.phrase("text", "b")) == [1, 2, 3, None]
+    assert found(index.words_or_synonyms("text", "a", {"a": ["b"]})) == [1, 2, 3, None]
+
+
 def test_days(spark, rows, tmp_path):
     path = str(tmp_path / "x")
     write_index(rows, path, ["id"], ["text"], day="day")
