@@ -26,26 +26,25 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], numb
 
     Rows are range-partitioned by group and order, so a hot group lies in many parts
     even if all its rows share one moment. The parts are written in order, each row with
-    its place in its part. What has to be added to that place is one number for each
+    its part and its place there. What has to be added to that place is one number for each
     group in each part: how many rows the group has in the parts before, less the place
     where it begins in this one.
     """
     path = scratch_path(df.sparkSession, "ranked")
     keys = [F.col(g).asc() for g in groups]
     parts = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    placed = parts.withColumn("_place", F.monotonically_increasing_id())
+    placed = parts.withColumn("_part", F.spark_partition_id()).withColumn(
+        "_place", F.monotonically_increasing_id())
     placed.write.mode("overwrite").parquet(path)
     rows = df.sparkSession.read.schema(placed.schema).parquet(path)
-    # The upper bits of the place number the part, the lower ones the rows in it.
-    part = F.shiftright("_place", 33)
     named = [F.col(g).alias(f"_of_{i}") for i, g in enumerate(groups)]
-    counts = rows.groupBy(*named, part.alias("_of_part")).agg(
+    counts = rows.groupBy(*named, F.col("_part").alias("_of_part")).agg(
         F.count(F.lit(1)).alias("count"), F.min("_place").alias("_first"))
     within = [f"_of_{i}" for i in range(len(groups))] or [_one_group("count")]
     earlier = Window.partitionBy(*within).orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("_shift", F.coalesce(F.sum("count").over(earlier), F.lit(0)) - F.col("_first") + 1)
     same = [rows[g].eqNullSafe(shifts[f"_of_{i}"]) for i, g in enumerate(groups)]
-    joined = rows.join(shifts, [*same, F.shiftright(rows["_place"], 33) == shifts["_of_part"]])
+    joined = rows.join(shifts, [*same, rows["_part"] == shifts["_of_part"]])
     return joined.withColumn(number, F.col("_place") + F.col("_shift")).select(*df.columns, number)
 
 
